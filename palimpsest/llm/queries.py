@@ -17,6 +17,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs.where(~langid.held_out())))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.decontam import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
+    "op5_decontamination": op5_decontamination,
+}
 
 ORACLES: dict[str, str] = {}
