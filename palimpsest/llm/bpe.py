@@ -201,7 +201,7 @@ def encode(docs: DataFrame, tokenizer_path: str, pattern: str, with_ids: bool =
                 back.append(coder.replay.decode(tokens))
                 if with_ids:
                     every.append(tokens)
-            out = {"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hex_digests(digests)), "decoded_sha256": pa.array(hex_digests(back))}
+            out = {"doc_id": ids, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hex_digests(digests)), "decoded_sha256": pa.array(hex_digests(back))}
             if with_ids:
                 out["token_ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(np.concatenate(every), pa.int32()))
             yield pa.RecordBatch.from_pydict(out)

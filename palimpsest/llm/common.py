@@ -49,10 +49,10 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list[str]]]:
+def chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
     """``(doc ids, texts)`` of about ``size`` bytes; a longer text comes alone."""
     for b in batches:
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        ids = b.column("doc_id")
         texts = b.column("text")
         if not len(ids):
             continue

@@ -111,7 +111,7 @@ def _pass(items, window: int):
                     spans.append(merged(sorted([*zip(s, e, strict=True), *found])) if s else found)
                     names.append(sorted({*i, *which}))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()),
+                    "doc_id": ids, "text": pa.array(texts, pa.string()),
                     "starts": pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int32())), "ends": pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int32())),
                     "items": pa.array(names, pa.list_(pa.string())),
                 })
@@ -145,14 +145,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 spans.append([])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()),
             "items_sha256": pa.array(hex_digests(",".join(x).encode() for x in items)), "contaminated": pa.array([x > 0 for x in n_hit], pa.bool_()), "spans": pa.array(spans, kind),
         })
 
     def final(batches):
         if not one:
             for b in _pass(last, window)(batches):
-                yield report(*(b.column(k).to_pylist() for k in ("doc_id", "text", "starts", "ends", "items")))
+                yield report(b.column("doc_id"), *(b.column(k).to_pylist() for k in ("text", "starts", "ends", "items")))
             return
         if last.id not in _BUILT:
             _BUILT.clear()

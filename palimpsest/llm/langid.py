@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
         fitted = Filter(*sent.value)
         for ids, texts in chunks(batches, 2 << 20):
             names, scores = fitted.predict(texts)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "lang_pred": names, "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "lang_pred": names, "score": pa.array(scores, pa.float64())})
 
     return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
