@@ -38,6 +38,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.superkmer import without_repeats
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op7_html": op7_html,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secrets": op9_secrets,
     "op10_suffix_array": op10_suffix_array,
