@@ -38,6 +38,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels.where(~toxicity.held_out())))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.html import main_text
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_html": op7_html,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secrets": op9_secrets,
