@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word's input is the sum of what is learned for the word itself (hashed) and for its character n-grams (hashed, with its ends), side by
-side. The text is read in overlapping windows of WINDOW words, STEP apart, the last one flush with the end; all of them are scored. Two gated
+A word's input is what is learned for the word itself and the mean of what is learned for its character n-grams (ends included), side by
+side; words and n-grams that stand in few texts of the sample are unknown and give nothing, so that no single text is learned by heart. The text is read in overlapping windows of WINDOW words, STEP apart, the last one flush with the end; all of them are scored. Two gated
 recurrent layers read a window in both directions, attention weighs their states, and a logistic unit gives the window's logit. Only whole texts
 are labelled, so after the first rounds a window of a toxic text counts as toxic only if the network finds it so or it is the text's worst.
 Finally a logistic regression on a text's worst, three worst and mean logits turns them into the score, with the share of toxic rows restored.
@@ -21,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, id_text, mix, ranges
+from palimpsest.llm.common import chunks, id_text, mix, prefix_hash, ranges, span_hash
 
 ROWS_PER_LABEL, WINDOWS_PER_ROW = 1200, 10
 WINDOW, STEP = 24, 16
-WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN = 4096, 8192, 8, 8
+WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN = 512, 1024, 8, 8
+#: Texts of the sample in which a word or n-gram must stand to be known at all.
+LEAST_TEXTS = 3
+#: Share of the sample on which the network is not trained, but its scores are calibrated.
+CALIBRATION = 0.25
 GRAMS = (3, 4)
 #: Rounds over the sample, or more where it is small: LEAST_STEPS batches at least.
-ROUNDS, LEAST_STEPS, BATCH, RATE = 6, 500, 256, 0.01
+ROUNDS, LEAST_STEPS, BATCH, RATE, FADE = 4, 150, 256, 0.01, 0.1
 REMEMBERED = 250_000
+_BASE = 0x5851F42D4C957F2D
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -38,34 +43,64 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's slot, the slots of all character n-grams one word after the other, and how many each word has."""
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, the hashes of all character n-grams one word after the other, and how many each word has."""
     raw = [b"^" + w.encode("utf-8", "replace") + b"$" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     buf = np.frombuffer(b"".join(raw) + b"\0" * 8, np.uint8).astype(np.uint64)
     start = np.cumsum(size) - size
-    slots, counts = [], []
-    whole = np.zeros(len(raw), np.uint64)
+    whole = span_hash(prefix_hash(mix(buf), _BASE), start, start + size, _BASE)
+    parts, counts = [], []
     for n in GRAMS:
-        h = np.zeros(len(buf) - 8, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(257) + buf[i : len(buf) - 8 + i]
-        h = mix(h + np.uint64(n << 56))
         count = np.maximum(size - n + 1, 0)
         at = ranges(start, count)
-        slots.append((h[at] % np.uint64(CHAR_SLOTS)).astype(np.int32))
+        h = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            h = h * np.uint64(257) + buf[at + i]
+        parts.append(mix(h + np.uint64(n << 56)))
         counts.append(count)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h[at] * np.uint64(n))])
-        ends = np.cumsum(count)
-        whole += sums[ends] - sums[ends - count]
-    # the n-grams of each word together
     total = sum(counts)
-    out = np.empty(int(total.sum()), np.int32)
+    out = np.empty(int(total.sum()), np.uint64)
     first = np.cumsum(total) - total
-    for part, count in zip(slots, counts, strict=True):
+    for part, count in zip(parts, counts, strict=True):
         out[ranges(first, count)] = part
         first = first + count
-    return (mix(whole) % np.uint64(WORD_SLOTS)).astype(np.int32), out, total
+    return whole, out, total
+
+
+def _slot(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in a sorted vocabulary, from 1 on; 0 for what it lacks."""
+    if not len(known):
+        return np.zeros(len(h), np.int32)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at + 1, 0).astype(np.int32)
+
+
+def features(words: list[str], vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's slot, the slots of its character n-grams one word after the other, and how many each word has."""
+    whole, grams, count = hashed(words)
+    return _slot(vocabulary[0], whole), _slot(vocabulary[1], grams), count
+
+
+def vocabulary_of(texts: list[list[str]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words and n-grams of at least LEAST_TEXTS texts, the WORD_SLOTS and CHAR_SLOTS whose share differs most between the labels."""
+    seen: tuple[list, list] = ([], [])
+    for text in texts:
+        whole, grams, _ = hashed(sorted(set(text)))
+        seen[0].append(np.unique(whole))
+        seen[1].append(np.unique(grams))
+    out = []
+    n1 = max(1.0, float((labels == 1).sum()))
+    n0 = max(1.0, len(labels) - n1)
+    for parts, most in zip(seen, (WORD_SLOTS, CHAR_SLOTS), strict=True):
+        keys, where = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
+        toxic = np.bincount(where, weights=np.repeat(labels == 1, [len(x) for x in parts]), minlength=len(keys))
+        n = np.bincount(where, minlength=len(keys))
+        p = n / (n0 + n1)
+        z = np.abs(toxic / n1 - (n - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+        able = np.flatnonzero(n >= LEAST_TEXTS)
+        out.append(np.sort(keys[able[np.argsort(-z[able], kind="stable")[: most - 1]]]))
+    return out[0], out[1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -85,7 +120,7 @@ class Network:
 
         h = HIDDEN
         return cls({
-            "word": normal(WORD_SLOTS, DIM, scale=0.1), "char": normal(CHAR_SLOTS, DIM, scale=0.3), "into": normal(2, 2 * DIM, 3 * h, scale=0.3), "bias": np.zeros((2, 1, 3 * h), np.float32),
+            "word": normal(WORD_SLOTS, DIM, scale=0.02), "char": normal(CHAR_SLOTS, DIM, scale=0.05), "into": normal(2, 2 * DIM, 3 * h, scale=0.3), "bias": np.zeros((2, 1, 3 * h), np.float32),
             "again": normal(2, h, 3 * h, scale=0.3), "look": normal(2 * h, scale=0.3), "out": normal(2 * h, scale=0.3), "base": np.zeros(1, np.float32),
         })
 
@@ -94,8 +129,8 @@ class Network:
         word, gram, count = f
         if not len(word):
             return np.zeros((0, 2 * DIM), np.float32)
-        sums = np.add.reduceat(self.p["char"][gram], np.cumsum(count) - count, axis=0)
-        return np.concatenate([self.p["word"][word], sums / count[:, None].astype(np.float32)], axis=1)
+        sums = np.add.reduceat(self.p["char"][gram] * (gram > 0)[:, None], np.cumsum(count) - count, axis=0)
+        return np.concatenate([self.p["word"][word] * (word > 0)[:, None], sums / count[:, None].astype(np.float32)], axis=1)
 
     def run(self, projected: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows. projected: [2, words, 3H]; ids: [windows, W] words; mask: [windows, W] of real ones, if any are not."""
@@ -168,7 +203,9 @@ class Network:
         word, gram, count = f
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         np.add.at(g["word"], word, d_in[:, :DIM])
+        g["word"][0] = 0
         np.add.at(g["char"], gram, np.repeat(d_in[:, DIM:] / count[:, None].astype(np.float32), count, axis=0))
+        g["char"][0] = 0
         return g
 
 
@@ -210,8 +247,8 @@ def summary(logit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 class Scorer:
     """Applies a fitted network; the inputs of words met before are remembered."""
 
-    def __init__(self, network: Network, calibration: np.ndarray, share: float):
-        self.network, self.calibration, self.share = network, calibration, share
+    def __init__(self, network: Network, vocabulary: tuple[np.ndarray, np.ndarray], calibration: np.ndarray, share: float):
+        self.network, self.vocabulary, self.calibration, self.share = network, vocabulary, calibration, share
         self.forget()
 
     def forget(self) -> None:
@@ -227,7 +264,7 @@ class Scorer:
             ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(text)), np.int64))
         if len(numbers) > len(self.known):
             new = list(numbers)[len(self.known) :]
-            self.known = np.concatenate([self.known, self.network.inputs(features(new))])
+            self.known = np.concatenate([self.known, self.network.inputs(features(new, self.vocabulary))])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         at, mask, owner = laid_out(np.array([len(x) for x in ids], np.int64))
         if not len(at):
@@ -269,11 +306,18 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, share: float
     rng = np.random.default_rng(seed)
     network = Network.new(rng)
     if len(set(labels.tolist())) < 2:
-        return Scorer(network, np.zeros(0), share)
+        return Scorer(network, (np.zeros(0, np.uint64),) * 2, np.zeros(0), share)
+    tokens = [words_of(x) for x in texts]
+    aside = np.zeros(len(texts), bool)
+    for k in (0, 1):
+        rows = np.flatnonzero(labels == k)
+        if len(rows) >= 8:
+            aside[rng.choice(rows, int(CALIBRATION * len(rows)), replace=False)] = True
+    learn = np.flatnonzero(~aside)
+    known = vocabulary_of([tokens[i] for i in learn], labels[learn])
     numbers: dict[str, int] = {}
-    ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words_of(x)), np.int64) for x in texts]
-    vocabulary = list(numbers)
-    word, gram, count = features(vocabulary)
+    ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens[i]), np.int64) for i in learn]
+    word, gram, count = features(list(numbers), known)
     first = np.cumsum(count) - count
     flat = np.concatenate(ids)
     at, mask, owner = laid_out(np.array([len(x) for x in ids], np.int64))
@@ -281,20 +325,20 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, share: float
     for rows in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
         chosen.append(rng.choice(rows, WINDOWS_PER_ROW, replace=False) if len(rows) > WINDOWS_PER_ROW else rows)
     chosen = np.concatenate(chosen)
-    target = labels[owner].astype(np.float32)
+    target = labels[learn][owner].astype(np.float32)
+    _informed(network, word, gram, count, first, flat, at[chosen], mask[chosen], target[chosen])
     m1 = {k: np.zeros_like(v) for k, v in network.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in network.p.items()}
     step, p_window = 0, np.ones(len(owner), np.float32)
     rounds = max(ROUNDS, -(-LEAST_STEPS // max(1, -(-len(chosen) // BATCH))))
     for turn in range(rounds):
         if 3 * turn >= rounds:  # windows of toxic texts that look clean drop out
-            scorer = Scorer(network, np.zeros(0), share)
             for i in range(0, len(chosen), 4096):
                 some = chosen[i : i + 4096]
                 distinct, inner = np.unique(flat[at[some]], return_inverse=True)
                 f = (word[distinct], gram[ranges(first[distinct], count[distinct])], count[distinct])
-                p_window[some] = _sigmoid(scorer.network.run(network.project(network.inputs(f)), inner.reshape(len(some), WINDOW), mask[some]))
-            worst = np.zeros(len(texts), np.float32)
+                p_window[some] = _sigmoid(network.run(network.project(network.inputs(f)), inner.reshape(len(some), WINDOW), mask[some]))
+            worst = np.zeros(len(learn), np.float32)
             np.maximum.at(worst, owner[chosen], p_window[chosen])
             live = chosen[(target[chosen] == 0) | (p_window[chosen] >= 0.5) | (p_window[chosen] >= worst[owner[chosen]])]
         else:
@@ -314,15 +358,34 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, share: float
                 v = v * np.float32(min(1.0, 5 / max(norm, 1e-12)))
                 m1[k] += np.float32(0.1) * (v - m1[k])
                 m2[k] += np.float32(0.001) * (v * v - m2[k])
+                if k in ("word", "char"):  # what isn't needed fades
+                    network.p[k] *= np.float32(1 - rate * FADE)
                 network.p[k] -= np.float32(rate) * (m1[k] / np.float32(1 - 0.9**step)) / (np.sqrt(m2[k] / np.float32(1 - 0.999**step)) + np.float32(1e-7))
-    scorer = Scorer(network, np.zeros(0), share)
+    scorer = Scorer(network, known, np.zeros(0), share)
+    judged = np.flatnonzero(aside) if len(set(labels[aside].tolist())) == 2 else np.arange(len(texts))
     rows = []
-    for i in range(0, len(texts), 100):
-        logit, own = scorer.logits(texts[i : i + 100])
-        rows.append(summary(logit, own, len(texts[i : i + 100])))
+    for i in range(0, len(judged), 100):
+        some = [texts[k] for k in judged[i : i + 100]]
+        rows.append(summary(*scorer.logits(some), len(some)))
     x = np.concatenate(rows)
     there = ~np.isnan(x[:, 0])
-    return Scorer(network, _logistic(x[there], labels[there], weight[there]), share)
+    return Scorer(network, known, _logistic(x[there], labels[judged][there], weight[judged][there]), share)
+
+
+def _informed(network: Network, word, gram, count, first, flat, at, mask, target) -> None:
+    """Begin with one input for the log-odds with which a slot's windows come from toxic texts, above those of a slot never seen."""
+    n = [max(1.0, float((target == k).sum())) for k in (0, 1)]
+    seen = {"word": np.zeros((2, WORD_SLOTS)), "char": np.zeros((2, CHAR_SLOTS))}
+    for k in (0, 1):
+        rows = np.flatnonzero(target == k)
+        held = flat[at[rows]][mask[rows]]
+        owner = np.broadcast_to(rows[:, None], mask[rows].shape)[mask[rows]]
+        for name, slots, window, size in (("word", word[held], owner, WORD_SLOTS), ("char", gram[ranges(first[held], count[held])], np.repeat(owner, count[held]), CHAR_SLOTS)):
+            once = np.unique(window.astype(np.int64) * size + slots)
+            seen[name][k] = np.bincount(once % size, minlength=size)
+    for name, (clean, toxic) in seen.items():
+        odds = np.log((toxic + 1) / (n[1] + 2)) - np.log((clean + 1) / (n[0] + 2))
+        network.p[name][:, 0] = 0.5 * (odds - (np.log(1 / (n[1] + 2)) - np.log(1 / (n[0] + 2))))
 
 
 def held_out() -> Column:
@@ -349,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
 
 def score(docs: DataFrame, model: Scorer) -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; one narrow stage."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.network.p, model.calibration, model.share))
+    sent = docs.sparkSession.sparkContext.broadcast((model.network.p, model.vocabulary, model.calibration, model.share))
 
     def run(batches):
         scorer = Scorer(Network(sent.value[0]), *sent.value[1:])
