@@ -15,11 +15,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import mix, prefix_hash, ranges, span_hash
+from palimpsest.llm.common import byte_values, mix, prefix_hash, ranges, span_hash
 
 #: Bases of the two hashes of a string; compared bytes decide, hashes only sort.
 BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 
+#: Units of several documents that are hashed at once; more are halved.
+CUT_UNITS = 1 << 20
+
 PACKED = "bucket int, text binary, places binary"
 SPANS = "row_key long, start int, end int"
 
@@ -35,9 +38,9 @@ def row_key() -> Column:
 
 
 def n_buckets(docs: DataFrame) -> tuple[int, int]:
-    """Partitions of the shuffle and buckets in all; four buckets to a partition keep the one in memory small."""
+    """Partitions of the shuffle and buckets in all; eight buckets to a partition keep the one in memory small."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return n, 4 * n
+    return n, 8 * n
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -54,13 +57,18 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 def cut(values: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-k-mers of a sequence of documents.
 
-    values: a hash for each unit (word or byte); ends: where each document ends. Returns each super-k-mer's first window, number of
+    values: a hash for each word, or the bytes; ends: where each document ends. Returns each super-k-mer's first window, number of
     windows, minimiser's place and minimiser's hash. Of equal minimisers of a window the first counts.
     """
     none = np.zeros(0, np.int64)
     if len(values) < k:
         return none, none, none, none.astype(np.uint64)
-    p = prefix_hash(values, BASE_A)
+    if len(values) > CUT_UNITS and len(ends) > 1:  # half of the documents at a time
+        half = min(max(1, int(np.searchsorted(ends, len(values) // 2))), len(ends) - 1)
+        at = int(ends[half - 1])
+        a, b = cut(values[:at], ends[:half], k, m), cut(values[at:], ends[half:] - at, k, m)
+        return np.r_[a[0], b[0] + at], np.r_[a[1], b[1]], np.r_[a[2], b[2] + at], np.r_[a[3], b[3]]
+    p = prefix_hash(byte_values(3)[values] if values.dtype == np.uint8 else values, BASE_A)
     at = np.arange(len(values) - m + 1)
     grams = mix(span_hash(p, at, at + m, BASE_A))
     low = np.uint64((1 << 24) - 1)
@@ -101,19 +109,38 @@ def same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> n
     return out
 
 
+def string_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray, base: int, block: int = 1 << 20) -> np.ndarray:
+    """Hashes of strings that begin in ascending order; the buffer is taken up block by block."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(start, start[i] + block))
+        low = start[i]
+        p = prefix_hash(values[buf[low : end[i:j].max()]], base)
+        out[i:j] = span_hash(p, start[i:j] - low, end[i:j] - low, base)
+        i = j
+    return out
+
+
+def gathered(buf: np.ndarray, start: np.ndarray, length: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """The strings one after the other; places are worked out for about ``block`` bytes at a time."""
+    ends = np.cumsum(length)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(block, int(ends[-1]) if len(ends) else 0, block)), len(start)])
+    return np.concatenate([buf[ranges(start[i:j], length[i:j])] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] or [buf[:0]])
+
+
 def padded(*parts: bytes) -> np.ndarray:
     return np.frombuffer(b"".join([*parts, b"\0" * 8]), np.uint8)
 
 
 def classes(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sort strings of ``buf``; equal ones become neighbours.
+    """Sort strings of ``buf``, which begin in ascending order; equal ones become neighbours.
 
     h: their hashes, where known. Returns the order, and for each place of it whether a new class of equal strings begins there. Hashes sort; bytes are then compared,
     and where two strings share a hash only, theirs are sorted anew by their bytes.
     """
     if h is None:
-        p = prefix_hash(buf.astype(np.uint64) + np.uint64(1), BASE_B)
-        h = mix(span_hash(p, start, start + length, BASE_B) + length.astype(np.uint64))
+        h = mix(string_hash(buf, start, start + length, byte_values(2), BASE_B) + length.astype(np.uint64))
     order = np.argsort(h, kind="stable")
     hs = h[order]
     twin = np.flatnonzero(hs[1:] == hs[:-1])
@@ -142,7 +169,7 @@ def packed(buf: np.ndarray, start: np.ndarray, length: np.ndarray, bucket: np.nd
     cuts = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]]) if len(head) else np.zeros(0, np.int64)
     z = zstandard.ZstdCompressor(level=3)
     for i, j in zip(cuts.tolist(), np.r_[cuts[1:], len(head)].tolist(), strict=True):
-        text = buf[ranges(start[head[i:j]], length[head[i:j]])].tobytes()
+        text = gathered(buf, start[head[i:j]], length[head[i:j]]).tobytes()
         who = order[ranges(first[i:j], members[i:j])]
         places = np.concatenate([[j - i], length[head[i:j]], members[i:j], of[who].T.ravel()]).astype(np.int64)
         # bytes of equal weight together compress better

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, hex_digests, mix, ranges
-from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, keyed, merged_runs, n_buckets, packed, same, unpacked, with_spans
+from palimpsest.llm.common import CHUNK_BYTES, chunks, hex_digests, mix, ranges
+from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, gathered, keyed, merged_runs, n_buckets, packed, same, unpacked, with_spans
 
 LENGTH, GRAM = 50, 12
 NO_ID = np.int64(2**63 - 1)
@@ -183,7 +183,6 @@ def permuted_common(buf: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 
 
 def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    values = byte_values(3)
 
     def run(batches):
         for b in batches:
@@ -200,7 +199,7 @@ def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                 for some, offset in parts:
                     buf = np.frombuffer(b"".join([*some, b"\0" * 8]), np.uint8)
                     upto = np.cumsum([len(x) for x in some])
-                    first, n, place, gram_hash = cut(values[buf[:-8]], upto, length, gram)
+                    first, n, place, gram_hash = cut(buf[:-8], upto, length, gram)
                     if not len(first):
                         continue
                     doc = np.searchsorted(upto, first, side="right")
@@ -236,7 +235,7 @@ def _solver(length: int, gram: int):
         of, owner = of[:, by], owner[by]
         least = np.minimum.reduceat(of[1], np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
         size = size[head]
-        text = buf[ranges(start[head], size)]
+        text = gathered(buf, start[head], size)
         at = np.cumsum(size) - size
         removed_from, removed_to, removed_piece = [], [], []
         if len(head) > 1:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, hex_digests, mix, prefix_hash, ranges, span_hash
-from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, keyed, merged_runs, n_buckets, packed, unpacked, with_spans
+from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, gathered, keyed, merged_runs, n_buckets, packed, string_hash, unpacked, with_spans
 
 WINDOW, GRAM = 35, 5
 _SPACE = np.zeros(256, bool)
@@ -57,7 +57,7 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(span_hash(prefix_hash(byte_values(1)[buf], BASE_A), starts, ends, BASE_A) + (ends - starts).astype(np.uint64))
+    return mix(string_hash(buf, starts, ends, byte_values(1), BASE_A) + (ends - starts).astype(np.uint64))
 
 
 def pack(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _solver(window: int):
         who = np.repeat(string, members)
         by = np.argsort(who, kind="stable")
         of = of[:, by]
-        text = np.concatenate([buf[ranges(start[head], length[head])], np.zeros(8, np.uint8)])
+        text = np.concatenate([gathered(buf, start[head], length[head]), np.zeros(8, np.uint8)])
         ends = np.flatnonzero(text[:-8] == 32)
         starts = np.r_[0, ends[:-1] + 1]
         last = np.searchsorted(ends, np.cumsum(length[head]) - 1, side="right")  # words up to the end of each string
