@@ -166,7 +166,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
     if grams:
         wanted = candidates(written(spark, postings(texts, grams), "trigrams"), queries)
-        texts = texts.join(wanted, "doc_id", "left")
+        texts = texts.join(wanted.hint("merge"), "doc_id", "left")  # the same plan at every size
     else:
         texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
     each = []
