@@ -1,10 +1,591 @@
-"""The registered queries of the versioned-table operators and the SQL that states their results."""
+"""The registered queries of the versioned-table operators and the SQL that states their results.
+
+Changelogs over the tables: ``events`` (key user_id, version event_id, an error deletes), ``orders`` (key o_custkey, version by date and number,
+status F deletes), ``pages`` (key url) and ``conversations`` (key conv_id, version turn). Runs of events are blocks of a thousand versions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from palimpsest.functions import blocks, bloom, keys
+from palimpsest.functions.keys import excluded, included
+from palimpsest.operators import compact, read, txn, write
+from palimpsest.operators.model import Versioned
+from palimpsest.plans import quorum
+from palimpsest.sources import stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EVENTS = Versioned(("user_id",), "event_id", "deleted")
+ORDERS = Versioned(("o_custkey",), "version", "deleted")
+PAGES = Versioned(("url",), "page_id", "deleted")
+
+
+def _query(sql: str | None, name: str | None = None):
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("deleted"))
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    version = F.struct("o_orderdate", "o_orderkey").alias("version")
+    return _table(spark, d, "orders").select("o_custkey", version, "o_orderkey", "o_totalprice", "o_orderpriority", (F.col("o_orderstatus") == "F").alias("deleted"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("url", "page_id", F.lit(False).alias("deleted"))
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).withColumn("run", F.floor(F.col("event_id") / 1000).cast("bigint"))
+
+
+def run_list(spark: SparkSession, d: str) -> DataFrame:
+    """Run statistics with made-up levels: the newest three runs at level 0, three at 1, the rest at 2."""
+    s = stats.run_stats(runs(spark, d), "run", "user_id", "event_id", "deleted")
+    newest = s.agg(F.max("run_id").alias("top"))
+    age = F.col("top") - F.col("run_id")
+    return s.join(F.broadcast(newest)).withColumn("level", F.when(age < 3, 0).when(age < 6, 1).otherwise(2)).drop("top")
+
+
+_EV = "ev AS (SELECT user_id, event_id, event_type, value, event_type = 'error' AS deleted FROM events)"
+_ORD = "od AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, o_orderpriority, o_orderstatus = 'F' AS deleted FROM orders)"
+_STATS = "st AS (SELECT event_id // 1000 AS run_id, min(user_id) AS first_key, max(user_id) AS last_key, max(event_id) AS max_ts, count(*) AS n_rows, CAST(sum(CAST(event_type = 'error' AS INT)) AS BIGINT) AS n_deleted FROM events GROUP BY 1)"
+_LEVELS = _STATS + ", lv AS (SELECT *, CASE WHEN (SELECT max(run_id) FROM st) - run_id < 3 THEN 0 WHEN (SELECT max(run_id) FROM st) - run_id < 6 THEN 1 ELSE 2 END AS level FROM st)"
+
+
+def _snap(at: str, where: str = "true", columns: str = "user_id, event_id, event_type, value") -> str:
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev WHERE event_id <= {at} AND {where}) WHERE rn = 1 AND NOT deleted"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("user_id", "event_id", "event_type", "value")
+
+
+# ---- reads
+
+
+@_query(f"WITH {_EV} {_snap('5000')}")
+def snapshot_read(spark, d):
+    return _shown(read.visible_at(events(spark, d), EVENTS, 5000))
+
+
+@_query(f"WITH {_EV} {_snap('5000', 'user_id = 7')}")
+def point_get(spark, d):
+    return _shown(read.get(events(spark, d), EVENTS, 7, 5000))
+
+
+@_query(f"WITH {_EV} {_snap('9223372036854775807', 'user_id = 12')}")
+def point_get_latest(spark, d):
+    return _shown(read.get(events(spark, d), EVENTS, 12))
+
+
+@_query(f"WITH {_EV} {_snap('9223372036854775807', 'user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)')}")
+def multi_get(spark, d):
+    wanted = _table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
+    return _shown(read.multi_get(events(spark, d), EVENTS, wanted))
+
+
+@_query(f"WITH {_EV} {_snap('9223372036854775807')} LIMIT 10000", "multi_get_10k")
+def _multi_get_10k(spark, d):
+    """Ten thousand keys asked for at once, most of them absent."""
+    wanted = spark.range(10_000).select(F.col("id").alias("user_id"))
+    return _shown(read.multi_get(events(spark, d), EVENTS, wanted))
+
+
+ORACLES["multi_get_10k"] = f"WITH {_EV} {_snap('9223372036854775807', 'user_id < 10000')}"
+
+for _name, _low, _high, _where in (
+    ("range_scan_incl", included(10), included(40), "user_id BETWEEN 10 AND 40"),
+    ("range_scan_excl", excluded(10), excluded(40), "user_id > 10 AND user_id < 40"),
+    ("range_scan_half_open", included(100), keys.UNBOUNDED, "user_id >= 100"),
+    ("range_scan_unbounded", keys.UNBOUNDED, keys.UNBOUNDED, "true"),
+    ("range_scan_below", keys.UNBOUNDED, excluded(15), "user_id < 15"),
+):
+    QUERIES[_name] = partial(lambda spark, d, low, high: _shown(read.scan(events(spark, d), EVENTS, low, high)), low=_low, high=_high)
+    ORACLES[_name] = f"WITH {_EV} {_snap('9223372036854775807', _where)}"
+
+
+@_query("SELECT url, page_id FROM pages WHERE starts_with(url, 'http://th')")
+def prefix_scan(spark, d):
+    return read.prefix_scan(pages(spark, d), PAGES, "http://th").select("url", "page_id")
+
+
+@_query("SELECT url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM pages WHERE starts_with(url, 'https://') AND page_id <= 100) WHERE rn = 1")
+def prefix_scan_as_of(spark, d):
+    return read.prefix_scan(pages(spark, d), PAGES, "https://", 100).select("url", "page_id")
+
+
+@_query(f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM ev WHERE user_id = 3")
+def version_history(spark, d):
+    return read.history(events(spark, d), EVENTS, included(3), included(3)).select("user_id", "event_id", "event_type", "deleted")
+
+
+@_query(f"WITH {_EV} SELECT user_id, event_id, event_type FROM ev WHERE user_id = (SELECT min(user_id) FROM ev WHERE event_id = 42) AND event_id = 42")
+def exact_version(spark, d):
+    e = events(spark, d)
+    key = e.where("event_id = 42").agg(F.min("user_id").alias("user_id"))
+    return e.where("event_id = 42").join(F.broadcast(key), "user_id").select("user_id", "event_id", "event_type")
+
+
+@_query(
+    f"WITH {_EV}, o AS ({_snap('4000')}), n AS ({_snap('8000')}) "
+    "SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change, o.event_id AS old_ts, n.event_id AS new_ts "
+    "FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.event_id IS DISTINCT FROM n.event_id"
+)
+def snapshot_diff(spark, d):
+    return read.diff(events(spark, d), EVENTS, 4000, 8000)
+
+
+@_query(
+    "SELECT string_agg(k || chr(10) || v, chr(10) ORDER BY k, v) AS text FROM (SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS v FROM nation)"
+)
+def render_scan(spark, d):
+    return read.render(_table(spark, d, "nation"), "n_nationkey", "n_name")
+
+
+# ---- merging
+
+
+@_query(
+    f"WITH {_EV}, three AS (SELECT *, 2 AS p, 'old' AS origin FROM ev WHERE event_id < 6000 UNION ALL SELECT *, 1, 'middle' FROM ev WHERE event_id BETWEEN 3000 AND 8000 UNION ALL SELECT *, 0, 'new' FROM ev WHERE event_id BETWEEN 5000 AND 9000) "
+    "SELECT user_id, event_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY p) AS rn FROM three) WHERE rn = 1"
+)
+def kway_merge(spark, d):
+    e = events(spark, d)
+    three = [e.where("event_id BETWEEN 5000 AND 9000").withColumn("origin", F.lit("new")), e.where("event_id BETWEEN 3000 AND 8000").withColumn("origin", F.lit("middle")), e.where("event_id < 6000").withColumn("origin", F.lit("old"))]
+    return read.merge_runs(three, EVENTS).select("user_id", "event_id", "origin")
+
+
+@_query(
+    f"WITH {_EV}, a AS ({_snap('9999999', 'event_id > 7000', '*')}), b AS ({_snap('7000', 'true', '*')}) "
+    "SELECT user_id, event_id, event_type, value FROM a UNION ALL SELECT user_id, event_id, event_type, value FROM b WHERE user_id NOT IN (SELECT user_id FROM a)"
+)
+def two_way_merge(spark, d):
+    e = events(spark, d)
+    return _shown(read.overlay(read.visible_at(e.where("event_id > 7000"), EVENTS, 9_999_999), read.visible_at(e, EVENTS, 7000), EVENTS))
+
+
+@_query("SELECT user_id, event_id FROM events WHERE user_id < 20 OR user_id >= 100")
+def concat_runs(spark, d):
+    e = events(spark, d)
+    return read.concat_runs([e.where("user_id < 20"), e.where("user_id >= 100")]).select("user_id", "event_id")
+
+
+@_query(f"WITH {_STATS} SELECT run_id, first_key, last_key, previous_last FROM (SELECT *, lag(last_key) OVER (ORDER BY first_key, last_key, run_id) AS previous_last FROM st) WHERE first_key <= previous_last")
+def concat_disjoint_check(spark, d):
+    s = stats.run_stats(runs(spark, d), "run", "user_id", "event_id")
+    w = Window.orderBy("first_key", "last_key", "run_id")
+    return s.withColumn("previous_last", F.lag("last_key").over(w)).where("first_key <= previous_last").select("run_id", "first_key", "last_key", "previous_last")
+
+
+# ---- transactions
+
+_LOCAL = "SELECT user_id, event_id, event_type, value, deleted, 0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev WHERE event_id > 9900) WHERE rn = 1"
+
+
+@_query(
+    f"WITH {_EV}, both_ AS ({_LOCAL} UNION ALL SELECT user_id, event_id, event_type, value, false, 1 FROM ({_snap('5000')})) "
+    "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS rn FROM both_) WHERE rn = 1 AND NOT deleted"
+)
+def txn_overlay_scan(spark, d):
+    e = events(spark, d)
+    local = read.newest(e.where("event_id > 9900"), EVENTS)
+    return _shown(read.overlay(local, read.visible_at(e, EVENTS, 5000), EVENTS))
+
+
+@_query(
+    "WITH r AS (SELECT DISTINCT event_id % 10 AS txn_id, user_id, 1000 * (event_id % 10) AS read_ts FROM events WHERE event_id < 300), c AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    "SELECT txn_id, r.user_id, read_ts FROM r JOIN c ON r.user_id = c.user_id WHERE newest > read_ts"
+)
+def txn_conflicts(spark, d):
+    e = _table(spark, d, "events")
+    reads = e.where("event_id < 300").select((F.col("event_id") % 10).alias("txn_id"), "user_id", (F.col("event_id") % 10 * 1000).alias("read_ts")).distinct()
+    commits = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts"))
+    return txn.conflicts(reads, commits, ["user_id"]).select("txn_id", "user_id", "read_ts")
+
+
+_LEDGER = "lg AS (SELECT event_id // 100 AS read_ts, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS change FROM events WHERE event_type IN ('click', 'view', 'signup'))"
+
+
+def _ledger(spark, d):
+    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    return _table(spark, d, "events").where(F.col("event_type").isin("click", "view", "signup")).select(F.floor(F.col("event_id") / 100).alias("read_ts"), change.alias("change"))
+
+
+@_query(f"WITH {_LEDGER}, a AS (SELECT read_ts FROM lg GROUP BY 1 HAVING sum(change) > 0) SELECT coalesce((SELECT min(read_ts) FROM a), (SELECT max(event_id) FROM events)) AS watermark")
+def watermark(spark, d):
+    commits = _table(spark, d, "events").select(F.col("event_id").alias("commit_ts"))
+    return txn.watermark(txn.active_readers(_ledger(spark, d)), commits)
+
+
+@_query(f"WITH {_LEDGER}, a AS (SELECT read_ts FROM lg GROUP BY 1 HAVING sum(change) > 0) SELECT count(*) AS n_snapshots, min(read_ts) AS oldest FROM a")
+def retained_snapshots(spark, d):
+    return txn.retained_snapshots(_ledger(spark, d))
+
+
+@_query("SELECT user_id, event_id AS commit_ts FROM events WHERE event_type = 'purchase' AND event_id >= 2500")
+def commit_pruning(spark, d):
+    return txn.prune_commits(_table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts")), 2500)
+
+
+# ---- writes
+
+
+@_query("SELECT batch, user_id, event_id, batch + 1 AS ts FROM (SELECT *, event_id // 500 AS batch, row_number() OVER (PARTITION BY event_id // 500, user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def batch_dedupe(spark, d):
+    rows = _table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 500).alias("batch"))
+    return write.dedupe_batch(rows, EVENTS, "event_id", ["batch"]).withColumn("ts", F.col("batch") + 1)
+
+
+@_query("SELECT DISTINCT user_id, CAST(10001 AS BIGINT) AS event_id, true AS deleted FROM events WHERE user_id < 9")
+def delete_batch(spark, d):
+    e = _table(spark, d, "events").select("user_id", "event_id", F.lit(False).alias("deleted"))
+    gone = write.deletes(e.where("user_id < 9").select("user_id").distinct(), EVENTS, e)
+    return write.stamp(gone, EVENTS, 10_000).select("user_id", "event_id", "deleted")
+
+
+_SIZE = "strlen(CAST(user_id AS VARCHAR)) + 8 + strlen(event_type)"
+
+
+@_query(f"WITH k AS (SELECT user_id % 4 AS part, user_id, sum({_SIZE}) AS s FROM events GROUP BY ALL) SELECT part, user_id, CAST(floor(coalesce(sum(s) OVER (PARTITION BY part ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096) AS BIGINT) AS run FROM k")
+def split_runs(spark, d):
+    e = events(spark, d).withColumn("part", F.col("user_id") % 4)
+    return write.roll(e, EVENTS, blocks.entry_size(F.col("user_id"), F.col("event_type")), 4096, "part")
+
+
+# ---- compaction
+
+
+def _retained(bottom: bool, drop: str = "false") -> str:
+    last = f"rn = 1 AND NOT ({'deleted' if bottom else 'false'}) AND NOT ({drop})"
+    return f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id <= 5000 ORDER BY event_id DESC) AS rn FROM ev) WHERE event_id > 5000 OR ({last})"
+
+
+def _kept(df):
+    return df.select("user_id", "event_id", "event_type", "deleted")
+
+
+@_query(_retained(True))
+def compact_bottom(spark, d):
+    return _kept(compact.retain(events(spark, d), EVENTS, 5000, True))
+
+
+@_query(_retained(False))
+def compact_nonbottom(spark, d):
+    return _kept(compact.retain(events(spark, d), EVENTS, 5000, False))
+
+
+@_query(_retained(True, "starts_with(CAST(user_id AS VARCHAR), '1')"))
+def compact_filtered(spark, d):
+    return _kept(compact.retain(events(spark, d), EVENTS, 5000, True, [F.col("user_id").cast("string").startswith("1")]))
+
+
+@_query(f"WITH k AS ({_retained(True)}) SELECT user_id, event_id FROM events WHERE (user_id, event_id) NOT IN (SELECT (user_id, event_id) FROM k)")
+def gc_reclaimed(spark, d):
+    return compact.reclaimed(events(spark, d), EVENTS, 5000, True).select("user_id", "event_id")
+
+
+@_query(f"WITH {_LEVELS}, c AS (SELECT level, count(*) AS n FROM lv GROUP BY 1), l AS (SELECT level, n, coalesce(lead(n) OVER (ORDER BY level), 0) AS below FROM c) SELECT min(level) AS level FROM l WHERE (level > 0 OR n >= 3) AND below < 2 * n AND level < 2")
+def pick_simple(spark, d):
+    c = run_list(spark, d).groupBy("level").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.lead("n").over(Window.orderBy("level")), F.lit(0))  # one row per level
+    return c.withColumn("below", below).where("(level > 0 OR n >= 3) AND below < 2 * n AND level < 2").agg(F.min("level").alias("level"))
+
+
+_TIERS = f"WITH {_LEVELS}, c AS (SELECT level AS tier, count(*) AS n FROM lv GROUP BY 1), t AS (SELECT *, sum(n) OVER (ORDER BY tier) AS upto, lead(n) OVER (ORDER BY tier) AS next FROM c)"
+
+
+@_query(f"{_TIERS} SELECT tier, n, CAST(upto AS BIGINT) AS upto, next, coalesce(100 * upto >= 150 * next, false) AS outgrows FROM t")
+def pick_tiered(spark, d):
+    c = run_list(spark, d).groupBy(F.col("level").alias("tier")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("tier")  # one row per tier
+    t = c.select("tier", "n", F.sum("n").over(w).alias("upto"), F.lead("n").over(w).alias("next"))
+    return t.withColumn("outgrows", F.coalesce(100 * F.col("upto") >= 150 * F.col("next"), F.lit(False)))
+
+
+@_query(
+    f"WITH {_LEVELS}, s AS (SELECT level, CAST(sum(n_rows) AS BIGINT) AS size FROM lv WHERE level > 0 GROUP BY 1), b AS (SELECT greatest((SELECT max(size) FROM s WHERE level = 2), 1000) AS t2) "
+    "SELECT level, size, CASE WHEN level = 2 THEN t2 WHEN t2 > 1000 THEN t2 // 4 ELSE 0 END AS target FROM s, b"
+)
+def pick_leveled(spark, d):
+    s = run_list(spark, d).where("level > 0").groupBy("level").agg(F.sum("n_rows").alias("size"))
+    b = s.agg(F.greatest(F.max(F.when(F.col("level") == 2, F.col("size"))), F.lit(1000)).alias("t2"))
+    target = F.expr("CASE WHEN level = 2 THEN t2 WHEN t2 > 1000 THEN t2 div 4 ELSE 0 END")
+    return s.join(F.broadcast(b)).select("level", "size", target.cast("bigint").alias("target"))
+
+
+@_query(f"WITH {_LEVELS} SELECT a.run_id AS a_run, b.run_id AS b_run FROM lv a JOIN lv b ON a.first_key <= b.last_key AND a.last_key >= b.first_key WHERE a.level = 0 AND b.level = 1")
+def overlapping_runs(spark, d):
+    r = run_list(spark, d)
+    return compact.overlapping(r.where("level = 0"), r.where("level = 1"))
+
+
+# ---- runs and state
+
+
+@_query(f"WITH {_STATS} SELECT * FROM st")
+def run_stats(spark, d):
+    return stats.run_stats(runs(spark, d), "run", "user_id", "event_id", "deleted")
+
+
+@_query(f"WITH {_LEVELS} SELECT level, count(*) AS n_runs, CAST(sum(n_rows) AS BIGINT) AS n_rows, max(max_ts) AS max_ts FROM lv GROUP BY 1")
+def level_stats(spark, d):
+    return stats.level_stats(run_list(spark, d))
+
+
+@_query(f"WITH {_LEVELS} SELECT level, string_agg(CAST(run_id AS VARCHAR), ',' ORDER BY run_id) AS runs FROM lv GROUP BY 1")
+def state_dump(spark, d):
+    return stats.state_dump(run_list(spark, d))
+
+
+_URL_RUNS = "ur AS (SELECT page_id // 50 AS run_id, min(url) AS first_key, max(url) AS last_key, max(page_id) AS max_ts, count(*) AS n_rows FROM pages GROUP BY 1)"
+
+
+def _url_runs(spark, d):
+    return stats.run_stats(pages(spark, d).withColumn("run", F.floor(F.col("page_id") / 50).cast("bigint")), "run", "url", "page_id")
+
+
+@_query(f"WITH {_URL_RUNS} SELECT * FROM ur WHERE last_key >= 'https://t' AND first_key < 'https://u'")
+def prune_range(spark, d):
+    return stats.prune_range(_url_runs(spark, d), included("https://t"), excluded("https://u"))
+
+
+@_query(f"WITH {_URL_RUNS} SELECT * FROM ur WHERE first_key <= 'http://the.example.com/' AND last_key >= 'http://the.example.com/'")
+def prune_key(spark, d):
+    return stats.prune_key(_url_runs(spark, d), "http://the.example.com/")
+
+
+@_query(f"WITH {_URL_RUNS} SELECT * FROM ur WHERE last_key >= 'https://th' AND first_key < 'https://ti'")
+def prune_prefix(spark, d):
+    return stats.prune_prefix(_url_runs(spark, d), "https://th")
+
+
+@_query(
+    "WITH f AS (SELECT event_id // 1000 AS run_id FROM events GROUP BY 1), rec AS (SELECT run_id, run_id * 2 AS seq, true AS lives FROM f UNION ALL SELECT run_id - 1, run_id * 2 + 1, false FROM f WHERE run_id % 3 = 2 UNION ALL SELECT run_id + 1000, run_id * 2 + 1, true FROM f WHERE run_id % 3 = 2) "
+    "SELECT run_id FROM (SELECT run_id, arg_max(lives, seq) AS lives FROM rec GROUP BY 1) WHERE lives"
+)
+def manifest_replay(spark, d):
+    f = runs(spark, d).groupBy(F.col("run").alias("run_id")).agg(F.lit(1).alias("one"))
+    none = F.array().cast("array<bigint>")
+    flushes = f.select((F.col("run_id") * 2).alias("seq"), F.array("run_id").alias("added"), none.alias("removed"))
+    merges = f.where("run_id % 3 = 2").select((F.col("run_id") * 2 + 1).alias("seq"), F.array(F.col("run_id") + 1000).alias("added"), F.array(F.col("run_id") - 1).alias("removed"))
+    return stats.replay_manifest(flushes.unionByName(merges))
+
+
+@_query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id < (SELECT coalesce(min(event_id), 9223372036854775807) FROM events WHERE event_id >= 7000) GROUP BY 1")
+def wal_replay(spark, d):
+    e = _table(spark, d, "events").select("user_id", "event_id", "event_type")
+    sum_ = stats.log_checksum(F.col("user_id"), F.col("event_id"), F.col("event_type")) + F.when(F.col("event_id") >= 7000, 1).otherwise(0)
+    return stats.replay_log(e.withColumn("crc", sum_), "user_id", "event_id", "event_type", "crc")
+
+
+# ---- blocks, Bloom filters, samples
+
+_ENTRY = "strlen(url) + 8 + strlen(CAST(page_id AS VARCHAR))"
+_LAYOUT = f"bl AS (SELECT page_id // 50 AS run, url, page_id, CAST(floor(coalesce(sum({_ENTRY}) OVER (PARTITION BY page_id // 50 ORDER BY url, page_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1024) AS BIGINT) AS block FROM pages)"
+
+
+def _laid(spark, d):
+    p = pages(spark, d).withColumn("run", F.floor(F.col("page_id") / 50).cast("bigint"))
+    return blocks.layout(p, ["run"], [F.col("url"), F.col("page_id").desc()], blocks.entry_size(F.col("url"), F.col("page_id")), 1024)
+
+
+@_query(f"WITH {_LAYOUT} SELECT run, block, min(url) AS first_key, max(url) AS last_key, max(page_id) AS max_ts, count(*) AS n_entries FROM bl GROUP BY 1, 2")
+def block_layout(spark, d):
+    return blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id")
+
+
+@_query(
+    f"WITH {_LAYOUT}, m AS (SELECT run, block, min(url) AS first_key FROM bl GROUP BY 1, 2), k AS (SELECT DISTINCT url FROM pages WHERE page_id < 20) "
+    "SELECT run, url, arg_max(block, first_key) AS block FROM k JOIN m ON first_key <= url GROUP BY 1, 2"
+)
+def find_block(spark, d):
+    wanted = pages(spark, d).where("page_id < 20").select("url").distinct()
+    return blocks.find_block(blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id"), ["run"], wanted, "url")
+
+
+@_query(
+    f"WITH {_LAYOUT}, f AS (SELECT *, first_value(url) OVER (PARTITION BY run, block ORDER BY url, page_id DESC) AS head FROM bl) "
+    "SELECT url, page_id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, least(length(url), length(head)) + 1)) AS n) WHERE substr(url, 1, n) = substr(head, 1, n)) AS INT) AS shared FROM f"
+)
+def common_prefix(spark, d):
+    head = F.first("url").over(Window.partitionBy("run", "block").orderBy("url", F.desc("page_id")))
+    return _laid(spark, d).withColumn("head", head).select("url", "page_id", blocks.common_prefix(F.col("url"), F.col("head")).alias("shared"))
+
+
+@_query(
+    "SELECT n, CAST(ceil(-ln(0.01) / (ln(2) * ln(2))) AS INT) AS bits_per_key, greatest(64, n * CAST(ceil(-ln(0.01) / (ln(2) * ln(2))) AS BIGINT)) AS n_bits, CAST(floor(ceil(-ln(0.01) / (ln(2) * ln(2))) * 0.69) AS INT) AS n_hashes FROM (SELECT count(DISTINCT url) AS n FROM pages)"
+)
+def bloom_sizing(spark, d):
+    b = bloom.bits_per_key(0.01)
+    n = pages(spark, d).agg(F.countDistinct("url").alias("n"))
+    return n.select("n", F.lit(b).alias("bits_per_key"), F.greatest(F.lit(64), F.col("n") * b).cast("bigint").alias("n_bits"), F.lit(bloom.n_hashes(b)).alias("n_hashes"))
+
+
+def _position(key: str) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) + i * CAST('0x' || substr(md5({key}), 9, 8) AS BIGINT)) % 4096"
+
+
+@_query(
+    f"WITH k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('url')} AS bit FROM pages, k WHERE page_id < 100), a AS (SELECT DISTINCT url, {_position('url')} AS bit FROM pages, k) "
+    "SELECT url FROM a LEFT JOIN b ON a.bit = b.bit GROUP BY url HAVING count(*) = count(b.bit)"
+)
+def bloom_membership(spark, d):
+    p = pages(spark, d)
+    return bloom.probe(p.select("url").distinct(), "url", bloom.build(p.where("page_id < 100"), "url", 4096, 6), 4096, 6)
+
+
+@_query(
+    "WITH s AS (SELECT DISTINCT url, string_split(url, '/') AS w FROM pages), n AS (SELECT url, w, unnest(range(1, len(w))) AS i FROM s) SELECT DISTINCT array_to_string(list_slice(w, 1, i), '/') AS prefix FROM n"
+)
+def delimiter_prefixes(spark, d):
+    return pages(spark, d).select(F.explode(keys.delimiter_prefixes(F.col("url"), "/")).alias("prefix")).distinct()
+
+
+@_query(
+    f"WITH p AS (SELECT DISTINCT array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS prefix FROM pages WHERE page_id < 50), k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('prefix')} AS bit FROM p, k), "
+    f"q AS (SELECT DISTINCT array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS prefix FROM pages), a AS (SELECT DISTINCT prefix, {_position('prefix')} AS bit FROM q, k) SELECT prefix FROM a LEFT JOIN b ON a.bit = b.bit GROUP BY prefix HAVING count(*) = count(b.bit)"
+)
+def prefix_bloom(spark, d):
+    host = F.array_join(F.slice(F.split("url", "/"), 1, 3), "/").alias("prefix")
+    p = pages(spark, d)
+    return bloom.probe(p.select(host).distinct(), "prefix", bloom.build(p.where("page_id < 50").select(host), "prefix", 4096, 6), 4096, 6)
+
+
+@_query("SELECT run, event_id, n FROM (SELECT event_id // 1000 AS run, event_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY user_id, event_id DESC) AS n FROM events) WHERE n <= 20 OR n % 100 = 0")
+def dict_sample(spark, d):
+    return blocks.dictionary_sample(runs(spark, d), ["run"], [F.col("user_id"), F.col("event_id").desc()]).select("run", "event_id", "n")
+
+
+@_query("SELECT user_id, upper(hex(encode(CAST(user_id AS VARCHAR)))) AS plain, CAST(length(CAST(user_id AS VARCHAR)) AS BIGINT) AS n FROM events GROUP BY 1")
+def binary_keys(spark, d):
+    text = F.col("user_id").cast("string")
+    return _table(spark, d, "events").groupBy("user_id").agg(F.lit(1).alias("one")).select("user_id", F.hex(text.cast("binary")).alias("plain"), F.octet_length(text).cast("bigint").alias("n"))
+
+
+# ---- quorum
+
+
+@_query(
+    "WITH m AS (SELECT user_id % 5 AS node, max(event_id) AS match_index FROM events WHERE user_id < 60 GROUP BY 1), k AS (SELECT match_index FROM m ORDER BY match_index DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM m)) "
+    "SELECT max(event_id) AS commit_index FROM events, k WHERE event_id <= match_index AND event_id // 500 = 3"
+)
+def quorum_commit_index(spark, d):
+    e = _table(spark, d, "events")
+    m = e.where("user_id < 60").groupBy((F.col("user_id") % 5).alias("node")).agg(F.max("event_id").alias("match_index"))
+    log = e.select(F.col("event_id").alias("index"), F.floor(F.col("event_id") / 500).alias("term"))
+    return quorum.commit_index(m, log, 3)
+
+
+@_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events WHERE event_id < 700 GROUP BY 1")
+def quorum_votes(spark, d):
+    v = _table(spark, d, "events").where("event_id < 700").select((F.col("user_id") % 7).alias("candidate"), F.col("event_type").isin("click", "view", "purchase").alias("granted"))
+    return quorum.elected(v)
+
+
+# ---- relational queries over snapshots
+
+_LIVE = f"{_ORD}, live AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM od) WHERE rn = 1 AND NOT deleted)"
+
+
+def _live(spark, d):
+    return read.visible_at(orders(spark, d), ORDERS).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+@_query(f"WITH {_LIVE} SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM live JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def snapshot_join(spark, d):
+    c, n = _table(spark, d, "customer").select("c_custkey", "c_nationkey"), _table(spark, d, "nation").select("n_nationkey", "n_name")
+    j = _live(spark, d).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query(f"WITH {_LIVE} SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS mean, max(o_totalprice) AS most FROM live GROUP BY 1")
+def snapshot_agg(spark, d):
+    return _live(spark, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"), F.max("o_totalprice").alias("most"))
+
+
+@_query(f"WITH {_LIVE} SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM live JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderpriority)")
+def snapshot_rollup(spark, d):
+    c = _table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return _live(spark, d).join(c, F.col("o_custkey") == F.col("c_custkey")).rollup("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_EV}, a AS ({_snap('3000')}), b AS ({_snap('9000')}) SELECT 'both' AS kind, count(*) AS n FROM (SELECT user_id FROM a INTERSECT SELECT user_id FROM b) UNION ALL SELECT 'gone', count(*) FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT user_id FROM a UNION SELECT user_id FROM b)")
+def snapshot_setops(spark, d):
+    e = events(spark, d)
+    a, b = (read.visible_at(e, EVENTS, t).select("user_id") for t in (3000, 9000))
+    each = [("both", a.intersect(b)), ("gone", a.exceptAll(b)), ("any", a.union(b).distinct())]
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in each]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@_query(f"WITH {_LIVE} SELECT o_custkey, o_orderkey, o_totalprice FROM live ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def snapshot_topk(spark, d):
+    return _live(spark, d).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@_query(
+    f"WITH {_EV}, q AS (SELECT user_id, event_id AS at FROM ev WHERE event_type = 'purchase') SELECT q.user_id, q.at, max(ev.event_id) AS seen FROM q LEFT JOIN ev ON ev.user_id = q.user_id AND ev.event_type = 'click' AND ev.event_id <= q.at GROUP BY 1, 2"
+)
+def snapshot_asof(spark, d):
+    """For each purchase the newest click of the same user up to it: one shuffle by key and a running maximum, no join."""
+    e = events(spark, d)
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(w)
+    return e.where(F.col("event_type").isin("click", "purchase")).withColumn("seen", seen).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("at"), "seen")
+
+
+@_query(f"WITH {_EV}, s AS ({_snap('5000')}) SELECT event_type, count(*) AS n FROM s GROUP BY 1")
+def snapshot_sql(spark, d):
+    """Spark SQL over a snapshot that is registered as a view."""
+    read.visible_at(events(spark, d), EVENTS, 5000).createOrReplaceTempView("snapshot_5000")
+    return spark.sql("SELECT event_type, count(*) AS n FROM snapshot_5000 GROUP BY event_type")
+
+
+@_query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
+def conversation_heads(spark, d):
+    c = _table(spark, d, "conversations").select("conv_id", "turn", "role", F.lit(False).alias("deleted"))
+    return read.visible_at(c, Versioned(("conv_id",), "turn", "deleted")).select("conv_id", "turn", "role")
+
+
+# ---- streaming
+
+
+@_query(f"WITH {_EV} {_snap('9223372036854775807')}")
+def stream_latest(spark, d):
+    """The newest visible version of each key, kept by a stream over the events."""
+    import tempfile
+    import uuid
+
+    from palimpsest.streaming.ingest import latest
+
+    # a pattern, as a stream can't begin at a path that is one file
+    stream = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    stream = stream.select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("deleted"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    at = f"{top}/stream-{uuid.uuid4().hex}"
+    out = latest(stream, EVENTS, ["event_type", "value"])
+    out.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    state = spark.read.format("statestore").load(at)
+    value = state.schema["value"].dataType.fieldNames()[0]
+    return state.select("key.user_id", f"value.{value}.*").where(~F.col("deleted")).select("user_id", "event_id", "event_type", "value")

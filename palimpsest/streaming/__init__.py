@@ -1 +1 @@
-
+"""Changelog ingestion with Structured Streaming."""
