@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,16 @@ def chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
         yield ids[start:], texts[start:].to_pylist()
 
 
+def filtered(batches: Iterable[pa.RecordBatch], keep: Callable[[list[str]], Sequence[bool]], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of whole batches, all columns, whose text ``keep`` accepts; null text is empty."""
+    for b in batches:
+        mask: list[bool] = []
+        text = b.column("text").fill_null("")
+        for _, texts in chunks([pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": text})], size):
+            mask += list(keep(texts))
+        yield b.filter(pa.array(mask, pa.bool_()))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ``arange(start, start + length)``."""
     lengths = lengths.astype(np.int64)
@@ -76,12 +86,16 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (two multiply-xorshift rounds)."""
     x = x.astype(np.uint64, copy=True)
+    mix_in_place(x)
+    return x
+
+
+def mix_in_place(x: np.ndarray) -> None:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= GOLDEN
     x ^= x >> np.uint64(32)
-    return x
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, mix, prefix_hash, ranges, span_hash
+from palimpsest.llm.common import byte_values, chunks, id_text, mix, mix_in_place, powers, prefix_hash, ranges, span_hash, written
 
 #: Bases of the two hashes of a string; compared bytes decide, hashes only sort.
 BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
@@ -27,14 +27,20 @@ PACKED = "bucket int, text binary, places binary"
 SPANS = "row_key long, start int, end int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, text``; rows with the same doc_id and text share a key."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_key", row_key())
+def row_key(docs: DataFrame) -> Column:
+    """The name of a row, from columns doc_id and text.
+
+    It is doc_id where that is unique and never null, which is looked up here; such keys of neighbouring rows compress well. Else it is a hash
+    of doc_id and text, which only rows with the same doc_id and text share.
+    """
+    key = F.col("doc_id").cast("long")
+    odd = docs.groupBy(key.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    return F.xxhash64(key, F.coalesce(F.col("text").cast("string"), F.lit(""))) if odd.take(1) else key
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def keyed(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``doc_id, text, row_key``."""
+    return id_text(docs).withColumn("row_key", row_key(docs) if key is None else key)
 
 
 def n_buckets(docs: DataFrame) -> tuple[int, int]:
@@ -69,20 +75,23 @@ def cut(values: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarra
         a, b = cut(values[:at], ends[:half], k, m), cut(values[at:], ends[half:] - at, k, m)
         return np.r_[a[0], b[0] + at], np.r_[a[1], b[1]], np.r_[a[2], b[2] + at], np.r_[a[3], b[3]]
     p = prefix_hash(byte_values(3)[values] if values.dtype == np.uint8 else values, BASE_A)
-    at = np.arange(len(values) - m + 1)
-    grams = mix(span_hash(p, at, at + m, BASE_A))
+    n = len(values) - m + 1
+    grams = p[m:] - p[:-m]
+    grams *= powers(BASE_A, n)[1]
+    mix_in_place(grams)
     low = np.uint64((1 << 24) - 1)
-    least = sliding_min((grams & ~low) | at.astype(np.uint64), k - m + 1)  # a chunk has under 2**24 units
-    place = (least & low).astype(np.int64)
-    starts = np.arange(len(place))
-    doc = np.searchsorted(ends, starts, side="right")
-    inside = starts + k <= ends[np.minimum(doc, len(ends) - 1)]
-    new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])]
-    first = np.flatnonzero(new)
+    least = grams & ~low  # a chunk has under 2**24 units
+    least |= np.arange(n, dtype=np.uint64)
+    place = (sliding_min(least, k - m + 1) & low).astype(np.int32)
+    inside = np.ones(len(place), bool)  # the last k - 1 places of each document begin no window
+    begins = np.maximum(np.r_[0, ends[:-1]], ends - k + 1)
+    outside = ranges(begins, ends - begins)
+    inside[outside[outside < len(place)]] = False
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])])
     length = np.diff(np.r_[first, len(place)])
     good = inside[first]
     first, length = first[good], length[good]
-    return first, length, place[first], grams[place[first]]
+    return first, length, place[first].astype(np.int64), grams[place[first]]
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -90,6 +99,15 @@ def words8(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), np.uint64, buf.data, strides=(1,))
 
 
+def short_hash(buf: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of strings that all have ``length`` bytes, eight at least, taken in words of eight."""
+    view = words8(buf)
+    out = np.full(len(start), np.uint64(length))
+    for at in [*range(0, length - 8, 8), length - 8]:
+        out = mix(out ^ view[start + at])
+    return out
+
+
 def same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether ``buf[a:a+length] == buf[b:b+length]``, byte by byte; ``buf`` ends with eight spare bytes."""
     out = np.ones(len(a), bool)
@@ -163,7 +181,7 @@ def packed(buf: np.ndarray, start: np.ndarray, length: np.ndarray, bucket: np.nd
     head = order[new]  # one string of each class
     members = np.diff(np.r_[np.flatnonzero(new), len(order)])
     first = np.flatnonzero(new)
-    by = np.argsort(bucket[head], kind="stable")
+    by = np.lexsort((head, bucket[head]))  # in a bucket as they stand in the corpus: their places then grow in small steps
     head, members, first = head[by], members[by], first[by]
     sorted_bucket = bucket[head]
     cuts = np.flatnonzero(np.r_[True, sorted_bucket[1:] != sorted_bucket[:-1]]) if len(head) else np.zeros(0, np.int64)
@@ -171,7 +189,8 @@ def packed(buf: np.ndarray, start: np.ndarray, length: np.ndarray, bucket: np.nd
     for i, j in zip(cuts.tolist(), np.r_[cuts[1:], len(head)].tolist(), strict=True):
         text = gathered(buf, start[head[i:j]], length[head[i:j]]).tobytes()
         who = order[ranges(first[i:j], members[i:j])]
-        places = np.concatenate([[j - i], length[head[i:j]], members[i:j], of[who].T.ravel()]).astype(np.int64)
+        steps = np.diff(of[who].T, axis=1, prepend=0)
+        places = np.concatenate([[j - i], length[head[i:j]], members[i:j], steps.ravel()]).astype(np.int64)
         # bytes of equal weight together compress better
         yield int(sorted_bucket[i]), z.compress(text), z.compress(np.ascontiguousarray(places.view(np.uint8).reshape(-1, 8).T).tobytes())
 
@@ -187,7 +206,7 @@ def unpacked(rows: list[tuple[bytes, bytes]], numbers: int) -> tuple[np.ndarray,
         texts.append(z.decompress(text))
         length.append(x[1 : n + 1])
         members.append(x[n + 1 : 2 * n + 1])
-        of.append(x[2 * n + 1 :].reshape(numbers, -1))
+        of.append(np.cumsum(x[2 * n + 1 :].reshape(numbers, -1), axis=1))
     length = np.concatenate(length)
     return padded(*texts), np.cumsum(length) - length, length, np.concatenate(members), np.concatenate(of, axis=1)
 
@@ -225,8 +244,52 @@ def merged_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[first], end[np.r_[first[1:], len(end)] - 1]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, text, starts, ends`` of every row; the lists are null where nothing is to go."""
-    lists = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = keyed(docs).join(lists, "row_key", "left")
-    return out.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+#: Bits of the set that tells rows with spans from others. Of fixed size: if it fills up, more rows than needed are joined.
+TOUCHED_BITS = 1 << 26
+
+
+def _bit():
+    return F.pmod(F.xxhash64("row_key"), F.lit(TOUCHED_BITS)).cast("long")
+
+
+def without_spans(rows: DataFrame, spans: DataFrame, report: Callable[[pa.Array, list[str], list], pa.RecordBatch], schema: str) -> DataFrame:
+    """``report(doc ids, texts, [(starts, ends)])`` of every row of keyed(), with the disjoint intervals that are to go.
+
+    Only texts with spans are shuffled. A bit set of at most 8 MB, put together by the executors, names them (and a few others).
+    """
+    spark = rows.sparkSession
+    lists = written(spark, spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    bit = lists.select((_bit() + 1).alias("bit"))  # the bitmap functions count from 1
+    parts = bit.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(TOUCHED_BITS // 8, np.uint8)
+    for part, data in parts:
+        at = (part - 1) * len(data)
+        bits[at : at + len(data)] = np.frombuffer(data, np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def touched(b) -> np.ndarray:
+        at = b.column("bit").to_numpy()
+        return (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def apart(batches):
+        for b in batches:
+            for ids, texts in chunks([b.filter(pa.array(~touched(b)))]):
+                yield report(ids, texts, [none] * len(texts))
+
+    def chosen(batches):
+        for b in batches:
+            yield b.filter(pa.array(touched(b))).select(["doc_id", "text", "row_key"])
+
+    def cut_out(batches):
+        for b in batches:
+            at = 0
+            for ids, texts in chunks([b]):
+                starts, ends = b.column("starts").slice(at, len(ids)), b.column("ends").slice(at, len(ids))
+                at += len(ids)
+                yield report(ids, texts, [merged_runs(s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else none for s, e in zip(starts, ends, strict=True)])
+
+    marked = rows.select("doc_id", "text", "row_key", _bit().alias("bit"))
+    joined = marked.mapInArrow(chosen, "doc_id long, text string, row_key long").join(lists.hint("merge"), "row_key", "left")
+    joined = joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    return marked.mapInArrow(apart, schema).unionByName(joined.mapInArrow(cut_out, schema))

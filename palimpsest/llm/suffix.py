@@ -1,7 +1,7 @@
 """Suffix-array deduplication: bytes covered by a 50-byte string that also starts in a document with a smaller doc_id go.
 
 The corpus is dealt into shards by super-k-mers of bytes, so that all places of a 50-byte string meet in one shard, as pieces of text.
-Pieces whose minimiser occurs once in the shard hold no repeated string and are set aside. Over the others a suffix array is built by
+Pieces whose minimiser never recurs in the shard with the same bytes beside it hold no repeated string and are set aside. Over the others a suffix array is built by
 induced sorting: suffixes are classified as larger or smaller than their successor, the leftmost-smaller ones (those after a larger one) are
 sorted by their substrings, then as a reduced string, and all others are induced from them in two linear passes. The passes work bucket by
 bucket with whole arrays; the reduced string has too many letters for that and is sorted by doubling its ranks. Common prefixes with the
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import CHUNK_BYTES, chunks, hex_digests, mix, ranges
-from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, gathered, keyed, merged_runs, n_buckets, packed, same, unpacked, with_spans
+from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, same, short_hash, unpacked, without_spans
 
 LENGTH, GRAM = 50, 12
 NO_ID = np.int64(2**63 - 1)
@@ -211,16 +211,29 @@ def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
+def _may_repeat(buf: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, members: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Pieces that can hold a repeated string at all.
+
+    Equal strings have their minimiser at the same place, and reach at least ``reach`` bytes beyond it on one side; so the minimiser with
+    that many bytes before it, or after it, stands in another piece as well. (Equal hashes only keep more pieces.)
+    """
+    reach = (length - gram + 1) // 2
+    out = members > 1
+    at = start + place
+    for able, begin in ((place >= reach, at - reach), (size - place >= gram + reach, at)):
+        some = np.flatnonzero(able)
+        if not len(some):
+            continue
+        _, where, n = np.unique(short_hash(buf, begin[some], gram + reach), return_inverse=True, return_counts=True)
+        out[some] |= n[where] > 1
+    return out
+
+
 def _solver(length: int, gram: int):
     def solve(rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         buf, start, size, members, of = unpacked(rows, 4)
         first_member = np.cumsum(members) - members
-        # pieces whose minimiser occurs once can't repeat anything
-        gram_start = start + of[3][first_member]
-        order, new = classes(buf, gram_start, np.full(len(start), gram))
-        group = np.cumsum(new) - 1
-        busy = np.bincount(group, weights=members[order])[group] > 1
-        keep = np.sort(order[busy])
+        keep = np.flatnonzero(_may_repeat(buf, start, size, of[3][first_member], members, length, gram))
         if not len(keep):
             return
         of = of[:, ranges(first_member[keep], members[keep])]
@@ -281,33 +294,26 @@ def _solver(length: int, gram: int):
     return solve
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``row_key, start, end``: byte intervals that go. They may overlap."""
-    partitions, buckets = n_buckets(docs)
-    known = keyed(docs).withColumn("known_id", F.coalesce("doc_id", F.lit(int(NO_ID))))
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``row_key, start, end`` from the rows of keyed(): byte intervals that go. They may overlap."""
+    partitions, buckets = n_buckets(rows)
+    known = rows.withColumn("known_id", F.coalesce("doc_id", F.lit(int(NO_ID))))
     return by_bucket(_pack(known, buckets, length, gram), _solver(length, gram), partitions)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes)."""
 
-    def run(batches):
-        for b in batches:
-            at = 0
-            for ids, texts in chunks([b]):
-                starts, ends = b.column("starts").slice(at, len(ids)), b.column("ends").slice(at, len(ids))
-                at += len(ids)
-                n_bytes, n_removed, n_spans, kept = [], [], [], []
-                for i, text in enumerate(texts):
-                    raw = text.encode("utf-8", "replace")
-                    n_bytes.append(len(raw))
-                    s, e = merged_runs(starts[i].values.to_numpy(), ends[i].values.to_numpy()) if starts[i].is_valid else (np.zeros(0, int),) * 2
-                    kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)))
-                    n_removed.append(int((e - s).sum()))
-                    n_spans.append(len(s))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-                    "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(hex_digests(kept)), "kept": pa.array(kept, pa.binary()),
-                })
-
-    return with_spans(docs, repeated_spans(docs, length, gram)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def report(ids, texts, spans):
+        n_bytes, kept = [], []
+        for text, (s, e) in zip(texts, spans, strict=True):
+            raw = text.encode("utf-8", "replace")
+            n_bytes.append(len(raw))
+            kept.append(b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)) if len(s) else raw)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array([int((e - s).sum()) for s, e in spans], pa.int64()),
+            "n_spans": pa.array([len(s) for s, _ in spans], pa.int64()), "kept_sha256": pa.array(hex_digests(kept), pa.string()), "kept": pa.array(kept, pa.binary()),
+        })
+
+    rows = keyed(docs)
+    return without_spans(rows, repeated_spans(rows, length, gram), report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, hex_digests, mix, prefix_hash, ranges, span_hash
-from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, gathered, keyed, merged_runs, n_buckets, packed, string_hash, unpacked, with_spans
+from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, string_hash, unpacked, without_spans
 
 WINDOW, GRAM = 35, 5
 _SPACE = np.zeros(256, bool)
@@ -135,40 +135,28 @@ def _split_runs(a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return np.sort(np.r_[a, inner]), np.sort(np.r_[b, inner])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``row_key, start, end``: word intervals of the documents that repeated windows cover. They may overlap."""
-    partitions, buckets = n_buckets(docs)
-    return by_bucket(pack(keyed(docs), buckets, window, gram), _solver(window), partitions)
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``row_key, start, end`` from the rows of keyed(): word intervals of the documents that repeated windows cover. They may overlap."""
+    partitions, buckets = n_buckets(rows)
+    return by_bucket(pack(rows, buckets, window, gram), _solver(window), partitions)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row ``doc_id, n_words, n_removed, kept_sha256, kept_text``."""
 
-    def run(batches):
-        for b in batches:
-            at = 0
-            for ids, texts in chunks([b]):
-                starts, ends = b.column("starts").slice(at, len(ids)), b.column("ends").slice(at, len(ids))
-                at += len(ids)
-                n_words, n_removed, kept = [], [], []
-                for i, text in enumerate(texts):
-                    words = text.encode("utf-8", "replace").split()
-                    n_words.append(len(words))
-                    gone = 0
-                    if starts[i].is_valid:
-                        s, e = merged_runs(starts[i].values.to_numpy(), ends[i].values.to_numpy())
-                        out, upto = [], 0
-                        for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                            out += words[upto:x]
-                            upto = y
-                            gone += y - x
-                        words = out + words[upto:]
-                    n_removed.append(gone)
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-                    "kept_sha256": pa.array(hex_digests(kept)), "kept_text": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()),
-                })
-
-    return with_spans(docs, repeated_spans(docs, window, gram)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-
+    def report(ids, texts, spans):
+        n_words, n_removed, kept = [], [], []
+        for text, (s, e) in zip(texts, spans, strict=True):
+            words = text.encode("utf-8", "replace").split()
+            n_words.append(len(words))
+            n_removed.append(int((e - s).sum()))
+            if len(s):
+                words = [w for x, y in zip([0, *e.tolist()], [*s.tolist(), len(words)], strict=True) for w in words[x:y]]
+            kept.append(b" ".join(words))
+        return pa.RecordBatch.from_pydict({
+            "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_sha256": pa.array(hex_digests(kept), pa.string()), "kept_text": pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()),
+        })
+
+    rows = keyed(docs)
+    return without_spans(rows, repeated_spans(rows, window, gram), report, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
