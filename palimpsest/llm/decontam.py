@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, hex_digests, id_text
+from palimpsest.llm.common import chunks, filtered, hex_digests, id_text
 
 WINDOW = 10
 #: Item text in one automaton. A larger benchmark is dealt over several, each of which passes over the documents in turn.
@@ -165,6 +165,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return (id_text(docs) if one else state).mapInArrow(final, shape)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, with all their columns; one narrow pass for each group of items."""
+
+    def without(items: _Shipped):
+        def run(batches):
+            if items.id not in _BUILT:
+                _BUILT.clear()
+                _BUILT[items.id] = automaton(items.value, window)
+            yield from filtered(batches, lambda texts: [not hits(_BUILT[items.id], words_of(x))[0] for x in texts])
+
+        return run
+
+    for group in _groups(benchmark):
+        docs = docs.mapInArrow(without(_Shipped(docs.sparkSession.sparkContext, group)), docs.schema)
+    return docs
+
+
 class _Shipped:
     """A broadcast with a name that stays the same in every worker."""
 

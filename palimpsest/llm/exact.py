@@ -8,7 +8,7 @@ each digest, which combine on the map side, so a digest with a third of all rows
 rows are grouped by their whole text instead.
 
 Null text is empty, and all empty (or all-blank) texts are equal. Rows that repeat doc_id and text form one group, of which one row
-counts as kept. Ties in length go to the smaller doc_id. Empty tables give empty results. Other columns are ignored.
+counts as kept. Ties in length go to the smaller doc_id; a null one counts as larger than all. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _known(doc_id: Column) -> Column:
+    """For joins: null doc_ids as the largest number."""
+    return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+
+
 def _keyed_state(spark: SparkSession, staged: str, schema) -> DataFrame:
     """Stream the staged digests through keyed state; ``digest, keep, group_size`` from what the state retains."""
     had = {k: spark.conf.get(k, None) for k in _STATE}
@@ -91,8 +96,8 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> D
     rows = spark.read.schema(rows.schema).parquet(staged)
     kept = _keyed_state(spark, staged, rows.schema)
     out = rows.join(kept.drop("locator"), "digest")
-    hits = rows.join(kept.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct()
-    texts = id_text(docs).select("doc_id", normalised(F.col("text")).alias("norm")).join(hits, "doc_id", "left_semi").withColumn("digest", digest(F.col("norm")))
+    hits = rows.join(kept.where("group_size > 1").select("digest"), "digest", "left_semi").select(_known(F.col("doc_id")).alias("known")).distinct()
+    texts = id_text(docs).select(_known(F.col("doc_id")).alias("known"), normalised(F.col("text")).alias("norm")).join(hits, "known", "left_semi").withColumn("digest", digest(F.col("norm")))
     differ = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).where("least != greatest").select("digest")
     differ = written(spark, differ, "dedup-collisions")
     columns = ["doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"]
@@ -100,9 +105,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> D
         return out.select(*columns)
     apart = out.join(differ, "digest", "left_anti").select(*columns)
     # texts that only share a digest: each whole text is a key of its own
-    one = rows.join(differ, "digest", "left_semi").select("doc_id", "row", "n_code_points", "text_sha256")
-    whole = texts.select("doc_id", "norm").distinct().withColumn("text_sha256", sha256_hex(F.col("norm")))
-    one = one.join(whole, ["doc_id", "text_sha256"])
+    one = rows.join(differ, "digest", "left_semi").select("doc_id", _known(F.col("doc_id")).alias("known"), "row", "n_code_points", "text_sha256")
+    whole = texts.select("known", "norm").distinct().withColumn("text_sha256", sha256_hex(F.col("norm")))
+    one = one.join(whole, ["known", "text_sha256"])
     first = one.groupBy("norm").agg(F.max(F.struct("n_code_points", F.negate("doc_id").alias("minus_id"), F.negate("row").alias("minus_row"))).alias("k"), F.count("*").alias("group_size"))
     first = first.select("norm", F.negate("k.minus_id").alias("keep_id"), F.negate("k.minus_row").alias("keep_row"), "group_size")
     return apart.unionByName(one.join(first, "norm").select(*columns))
@@ -110,6 +115,6 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> D
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": sha256_hex(normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
+    kept = dedup(docs).where("kept").select(_known(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__id": _known(F.col("doc_id")), "__sha": sha256_hex(normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
     return keyed.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import byte_values, chunks, mix, prefix_hash, ranges, span_hash, written
 from palimpsest.llm.graph import components
-from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, string_hash
+from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, row_key, string_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 2
@@ -208,15 +208,14 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, n_links, kept``.
 
-    ``n_links``: verified links of the row's node to other texts; ``kept``: the row names its class. Rows that repeat doc_id are all kept if
-    one is; without_near_copies() leaves one of them.
+    ``n_links``: verified links of the row's words to other texts; ``kept``: the row with the class's smallest doc_id. Rows that repeat doc_id
+    and text are all kept if one is; without_near_copies() leaves one of them.
     """
-    return _classes(docs, threshold).drop("row_key")
+    return _classes(keyed(docs), threshold).drop("row_key")
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    spark = docs.sparkSession
-    rows = keyed(docs)
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    spark = rows.sparkSession
     weights = document_frequencies(rows)
     sketch = written(spark, sketches(rows, weights), "sketches")
     # texts with the same words are one node, named by its least key; texts without words stay apart
@@ -256,14 +255,15 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     key = nodes.select("n_words", "words_a", "words_b", F.col("alone").alias("alone_"), "node")
     placed = named.join(key.hint("merge"), (named.n_words == key.n_words) & (named.words_a == key.words_a) & (named.words_b == key.words_b) & named.alone.eqNullSafe(key.alone_))
     placed = written(spark, placed.select("row_key", "doc_id", "node").join(part.hint("merge"), "node").select("row_key", "doc_id", "component", "n_links"), "placed")
-    summary = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("row_key").alias("least_key"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias("first")
+    summary = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), first)
     out = placed.join(summary.hint("merge"), "component")
-    kept = F.when(F.col("class_id").isNull(), F.col("row_key") == F.col("least_key")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
-    return out.select("row_key", "doc_id", "class_id", "class_size", "n_links", kept.alias("kept"))
+    return out.select("row_key", "doc_id", "class_id", "class_size", "n_links", (F.col("row_key") == F.col("first.row_key")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each class, with all its columns."""
-    kept = _classes(docs, threshold).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = row_key(docs)
+    kept = _classes(keyed(docs, key), threshold).where("kept").select(F.col("row_key").alias("__key")).distinct()
+    named = docs.withColumn("__key", key)
+    return named.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

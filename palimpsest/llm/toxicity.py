@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, id_text, mix, prefix_hash, ranges, span_hash
+from palimpsest.llm.common import chunks, filtered, id_text, mix, prefix_hash, ranges, span_hash
 
 ROWS_PER_LABEL, WINDOWS_PER_ROW = 1200, 10
 WINDOW, STEP = 24, 16
@@ -424,8 +424,12 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    usable = labels.where(~held_out())
-    toxic = score(docs, fit(docs, usable)).where("predicted = 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__toxic")).distinct()
-    marked = docs.join(toxic, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    return marked.select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; one narrow stage."""
+    model = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((model.network.p, model.vocabulary, model.calibration, model.share))
+
+    def run(batches):
+        scorer = Scorer(Network(sent.value[0]), *sent.value[1:])
+        yield from filtered(batches, lambda texts: scorer.score(texts) < 0.5)
+
+    return docs.mapInArrow(run, docs.schema)
