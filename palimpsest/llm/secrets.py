@@ -160,13 +160,13 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, found`` with ``found`` an array of ``(start, number, end)``, ``number`` the rule's place in ``rules``; in order."""
     spark = docs.sparkSession
-    texts = id_text(docs)
+    texts = id_text(docs).withColumn("known_id", F.coalesce("doc_id", F.lit(2**63 - 1)))  # joins don't find null
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for part in q for s in part for g in s})
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
     if grams:
-        wanted = candidates(written(spark, postings(texts, grams), "trigrams"), queries)
-        texts = texts.join(wanted.hint("merge"), "doc_id", "left")  # the same plan at every size
+        wanted = candidates(written(spark, postings(texts.select(F.col("known_id").alias("doc_id"), "text"), grams), "trigrams"), queries)
+        texts = texts.join(wanted.withColumnRenamed("doc_id", "known_id").hint("merge"), "known_id", "left")  # the same plan at every size
     else:
         texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
     each = []
