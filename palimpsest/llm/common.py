@@ -36,9 +36,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage at a Parquet table in the shared folder; lost executors cost only their running tasks."""
+def written(spark: SparkSession, df: DataFrame, what: str, narrow: bool = False) -> DataFrame:
+    """Cut the lineage at a Parquet table in the shared folder; lost executors cost only their running tasks.
+
+    narrow: rows of a few numbers each, written by one task per core rather than one per shuffle partition.
+    """
     path = shared_dir(spark, what)
+    if narrow:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

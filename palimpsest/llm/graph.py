@@ -10,7 +10,6 @@ from palimpsest.llm.common import written
 
 def _hung(links: DataFrame, small: bool) -> DataFrame:
     """Hang neighbours on the least node around each node: the larger ones (large star), or the node and its smaller ones (small star)."""
-    spark = links.sparkSession
     around = links if small else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     joined = around.join(least.hint("merge"), "a")
@@ -18,18 +17,18 @@ def _hung(links: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return written(spark, out.where("a != b").distinct(), "stars")
+    return out.where("a != b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``a, b`` (any order, no loops needed) to ``node, component``: the least node that can be reached. Nodes without links don't appear."""
     spark = links.sparkSession
-    now = written(spark, links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = written(spark, links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
     state = None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(sums) == state or not sums[0]:
             break
         state = tuple(sums)
-        now = _hung(_hung(now, small=False), small=True)
+        now = written(spark, _hung(_hung(now, small=False), small=True), "stars", narrow=True)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

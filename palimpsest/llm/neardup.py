@@ -26,7 +26,7 @@ from palimpsest.llm.graph import components
 from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, row_key, string_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 12, 2
+BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 SLOTS = 1 << 16
 
@@ -234,24 +234,24 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
         # the first round compares every member with the least one, later ones what is still apart
         order = F.struct(F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
         speaker = where.groupBy("bucket", "component").agg(F.min(order).alias("s")).select("bucket", "component", F.col("s.node").alias("node"))
-        speaker = written(spark, speaker, "speakers")
+        speaker = written(spark, speaker, "speakers", narrow=True)
         lead = speaker.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("lead.node").alias("b"))
         pairs = speaker.join(lead.hint("merge"), "bucket").where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         fresh = written(spark, verified(pairs, texts, weights, threshold), "verified")
         if not fresh.take(1):
             break
         links = fresh if links is None else links.unionByName(fresh)
-        part = components(links)
-        where = member.join(part.hint("merge"), member.node == part.node, "left").select("bucket", member.node, F.coalesce("component", member.node).alias("component"))
+        found = components(links)
+        where = member.join(found.hint("merge"), member.node == found.node, "left").select("bucket", member.node, F.coalesce("component", member.node).alias("component"))
         turn += 1
     if links is None:
         part = nodes.select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("n_links"))
     else:
         ends = links.select("a", "b").distinct()
         degree = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        part = nodes.select("node").join(components(links).hint("merge"), "node", "left").join(degree.hint("merge"), "node", "left")
+        part = nodes.select("node").join(found.hint("merge"), "node", "left").join(degree.hint("merge"), "node", "left")
         part = part.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    part = written(spark, part, "components")
+    part = written(spark, part, "components", narrow=True)
     key = nodes.select("n_words", "words_a", "words_b", F.col("alone").alias("alone_"), "node")
     placed = named.join(key.hint("merge"), (named.n_words == key.n_words) & (named.words_a == key.words_a) & (named.words_b == key.words_b) & named.alone.eqNullSafe(key.alone_))
     placed = written(spark, placed.select("row_key", "doc_id", "node").join(part.hint("merge"), "node").select("row_key", "doc_id", "component", "n_links"), "placed")
