@@ -5,9 +5,11 @@ whole text where it has fewer), its weight the number of times it stands in the
 Document frequencies cover all documents and are kept for 65,536 hashed word slots, whatever the size of the corpus.
 
 Texts with the same words are one node. Each node draws SAMPLES weighted samples, consistently: two nodes draw the same one with the
-probability of their weighted Jaccard similarity. BANDS of ROWS samples name the buckets it falls into. In a bucket, members are compared
-with one representative, not with each other; pairs are verified by their weighted Jaccard similarity, THRESHOLD or more, from their whole
-texts. Then representatives of the components that still share a bucket are compared, drawn anew in each round, until a round links nothing.
+probability of their weighted Jaccard similarity. BANDS of ROWS samples name the buckets it falls into. Pairs are verified by their weighted
+Jaccard similarity, THRESHOLD or more, from their whole texts. In each round a bucket's leads are compared with all its members that are not
+in their component, and are done with; it is used up when its other members are of one component. So every two members of a bucket
+end in one component or have been compared, but for pairs that can't reach the threshold: one text weighs too little beside the other, or their
+distances from a lead differ too much (1 - similarity is a metric). The first round has one lead to a bucket, later ones more and more.
 
 Null and empty texts, and texts without words, are classes of their own. Rows with the same words always share a class, so repeated rows do.
 The class is named by its smallest doc_id (a null doc_id counts as larger than all). Empty tables give empty results. Other columns are ignored.
@@ -29,6 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 SLOTS = 1 << 16
+#: From the second round on a bucket has GROWTH ** round leads, or as many as make ALL_PAIRS pairs if that is more.
+GROWTH, ALL_PAIRS = 4, 4096
 
 _NORMAL = np.frombuffer(bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256)), np.uint8)
 
@@ -136,7 +140,7 @@ def document_frequencies(rows: DataFrame) -> Weights:
 
 
 def sketches(rows: DataFrame, weights: Weights) -> DataFrame:
-    """``row_key, doc_id, n_words, words_a, words_b, bands`` of every row; two hashes name its sequence of words."""
+    """``row_key, doc_id, n_words, words_a, words_b, mass, bands`` of every row; two hashes name its sequence of words, mass is its whole weight."""
     idf = rows.sparkSession.sparkContext.broadcast(weights.idf)
 
     def run(batches):
@@ -149,12 +153,14 @@ def sketches(rows: DataFrame, weights: Weights) -> DataFrame:
                 words, n = word_hashes([x.encode("utf-8", "replace") for x in texts])
                 ends = np.cumsum(n)
                 a, c = (span_hash(prefix_hash(mix(words + np.uint64(s)), base), ends - n, ends, base).view(np.int64) for s, base in ((1, BASE_A), (2, BASE_B)))
-                bands = sampler.bands(*scale.shingles(words, n))
+                h, w, size = scale.shingles(words, n)
+                mass = np.bincount(np.repeat(np.arange(len(n)), size), weights=w, minlength=len(n))
+                bands = sampler.bands(h, w, size)
                 flat = pa.array(bands.ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((n > 0) * BANDS)], pa.int32()), flat)
-                yield pa.RecordBatch.from_pydict({"row_key": keys, "doc_id": ids, "n_words": pa.array(n, pa.int64()), "words_a": pa.array(a), "words_b": pa.array(c), "bands": lists})
+                yield pa.RecordBatch.from_pydict({"row_key": keys, "doc_id": ids, "n_words": pa.array(n, pa.int64()), "words_a": pa.array(a), "words_b": pa.array(c), "mass": pa.array(mass, pa.float64()), "bands": lists})
 
-    return rows.mapInArrow(run, "row_key long, doc_id long, n_words long, words_a long, words_b long, bands array<long>")
+    return rows.mapInArrow(run, "row_key long, doc_id long, n_words long, words_a long, words_b long, mass double, bands array<long>")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -168,8 +174,8 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.select("row_key", "text").mapInArrow(run, "row_key long, z binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of those pairs whose whole texts reach the threshold."""
+def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """``a, b, similarity`` of the pairs, from their whole texts."""
     idf = pairs.sparkSession.sparkContext.broadcast(weights.idf)
     both = pairs.join(texts.withColumnsRenamed({"row_key": "a", "z": "z_a"}).hint("merge"), "a")
     both = both.join(texts.withColumnsRenamed({"row_key": "b", "z": "z_b"}).hint("merge"), "b").select("a", "b", "z_a", "z_b")
@@ -199,12 +205,37 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
         common = np.bincount(pair[twin], weights=np.minimum(w[twin], w[twin + 1]), minlength=len(n) // 2)
         union = total[::2] + total[1::2] - common
         similarity = np.where(union > 0, common / np.maximum(union, 1e-12), 0.0)
-        good = similarity >= threshold - 1e-6
-        return pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(good)), "b": batch.column("b").filter(pa.array(good)), "similarity": pa.array(similarity[good])})
+        return pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(similarity)})
 
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _led(rest: DataFrame, turn: int) -> DataFrame:
+    """The members of the buckets that are not used up, with the ``pivot`` of each bucket and whether the member is a ``lead``.
+
+    The pivot is the least node of the smallest component; more leads are drawn by hash from all components but the largest.
+    """
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min("node").alias("least"))
+    state = sizes.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"), F.min(F.struct("c", "component", "least")).alias("first")
+    )
+    live = rest.join(state.where("parts > 1").hint("merge"), "bucket")
+    lead = F.col("node") == F.col("first.least")
+    if turn:
+        wanted = F.greatest(F.lit(float(GROWTH**turn)), F.lit(float(ALL_PAIRS)) / F.col("n")) / (F.col("n") - F.col("main.c"))
+        lead |= (F.col("component") != F.col("main.component")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) < wanted * (1 << 30))
+    return live.select("bucket", "node", "component", "mass", "far", F.col("first.least").alias("pivot"), lead.alias("lead"))
+
+
+def _candidates(live: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: leads with the members of other components that may reach the threshold."""
+    lead = live.where("lead").select("bucket", F.col("node").alias("l_node"), F.col("component").alias("l_component"), F.col("mass").alias("l_mass"), F.col("far").alias("l_far"))
+    apart = F.coalesce(F.exists(F.zip_with("far", "l_far", lambda x, y: F.abs(x - y) > 1 - threshold + 1e-4), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    heavy = F.least("mass", "l_mass") >= F.greatest("mass", "l_mass") * (threshold - 1e-4)
+    both = live.join(lead.hint("merge"), "bucket").where((F.col("component") != F.col("l_component")) & (~F.col("lead") | (F.col("node") > F.col("l_node"))) & heavy & ~apart)
+    return both.select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, n_links, kept``.
 
@@ -221,28 +252,37 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     # texts with the same words are one node, named by its least key; texts without words stay apart
     named = sketch.withColumn("alone", F.when(F.col("n_words") == 0, F.col("row_key")))
     same = ["n_words", "words_a", "words_b", "alone"]
-    nodes = written(spark, named.groupBy(*same).agg(F.min("row_key").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(spark, named.groupBy(*same).agg(F.min("row_key").alias("node"), F.first("mass").alias("mass"), F.first("bands").alias("bands")), "nodes")
     member = nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))
     # buckets with company
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     member = written(spark, member.join(shared.hint("merge"), "bucket", "left_semi"), "buckets")
     wanted = member.select(F.col("node").alias("row_key")).distinct()
     texts = written(spark, _texts(rows).join(wanted.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]), "texts")
-    links, turn = None, 0
-    where = member.withColumn("component", F.col("node"))
+    mass = nodes.select("node", "mass")
+    rest = member.join(mass.hint("merge"), "node").select("bucket", "node", F.col("node").alias("component"), "mass", F.array().cast("array<double>").alias("far"))
+    links, tested, found, turn = None, None, None, 0
     while True:
-        # the first round compares every member with the least one, later ones what is still apart
-        order = F.struct(F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))
-        speaker = where.groupBy("bucket", "component").agg(F.min(order).alias("s")).select("bucket", "component", F.col("s.node").alias("node"))
-        speaker = written(spark, speaker, "speakers", narrow=True)
-        lead = speaker.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("lead.node").alias("b"))
-        pairs = speaker.join(lead.hint("merge"), "bucket").where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        fresh = written(spark, verified(pairs, texts, weights, threshold), "verified")
-        if not fresh.take(1):
+        live = written(spark, _led(rest, turn), "leads", narrow=True)
+        if not live.take(1):
             break
-        links = fresh if links is None else links.unionByName(fresh)
-        found = components(links)
-        where = member.join(found.hint("merge"), member.node == found.node, "left").select("bucket", member.node, F.coalesce("component", member.node).alias("component"))
+        pairs = _candidates(live, threshold)
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        judged = written(spark, verified(pairs, texts, weights), "verified")
+        tested = judged if tested is None else tested.unionByName(judged)
+        fresh = judged.where(F.col("similarity") >= threshold - 1e-6)
+        if fresh.take(1):
+            links = fresh if links is None else links.unionByName(fresh)
+            found = components(links)
+        # leads have been compared with all that is left of their buckets
+        left = live.where("not lead").withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).drop("component")
+        left = left.join(tested.hint("merge"), ["a", "b"], "left").withColumn("far", F.concat("far", F.array(1 - F.col("similarity"))))
+        if found is None:
+            left = left.withColumn("component", F.col("node"))
+        else:
+            left = left.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = written(spark, left.select("bucket", "node", "component", "mass", "far"), "rest", narrow=True)
         turn += 1
     if links is None:
         part = nodes.select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("n_links"))

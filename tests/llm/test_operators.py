@@ -178,6 +178,45 @@ def test_near_copies(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def boilerplate_rows(n=120):
+    """Texts of one form, about half alike, some of them twice with a few words changed."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(5000)]
+    form = [rng.choice(vocabulary) for _ in range(300)]
+    rows = []
+    for k in range(n):
+        own = [rng.choice(vocabulary) for _ in range(30)]
+        rows.append((len(rows), " ".join(form + own)))
+        if k % 3 == 0:
+            for i in range(3):
+                own[i * 2 + 10] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(form + own)))
+    return rows
+
+
+def weighted_similarities(spark, rows):
+    weights = neardup.document_frequencies(table(spark, rows))
+    sets = []
+    for _, t in rows:
+        h, w, _ = weights.shingles(*neardup.word_hashes([t.encode()]))
+        sets.append(dict(zip(h.tolist(), w.tolist(), strict=True)))
+    for a in range(len(rows)):
+        for b in range(a):
+            common = sum(min(w, sets[b][h]) for h, w in sets[a].items() if h in sets[b])
+            yield a, b, common / (sum(sets[a].values()) + sum(sets[b].values()) - common)
+
+
+def test_every_pair_of_a_bucket_is_judged(spark):
+    rows = boilerplate_rows()
+    root = list(range(len(rows)))
+    near = [(a, b, x) for a, b, x in weighted_similarities(spark, rows) if x >= 0.8]
+    for a, b, _ in near:
+        root = [root[b] if r == root[a] else r for r in root]
+    classes = [(i, min(j for j in range(len(rows)) if root[j] == root[i]), root.count(root[i])) for i in range(len(rows))]
+    assert 10 < len({c for _, c, n in classes if n == 2})
+    assert got(neardup.near_duplicates(table(spark, rows)), "doc_id", "class_id", "class_size") == sorted(classes, key=repr)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(0)
     same, h = 0, rng.integers(0, 1 << 63, 300).astype(np.uint64)
