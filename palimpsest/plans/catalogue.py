@@ -219,7 +219,21 @@ def txn_overlay_scan(spark, d):
 )
 def txn_conflicts(spark, d):
     e = _table(spark, d, "events")
-    reads = e.where("event_id < 300").select((F.col("event_id") % 10).alias("txn_id"), "user_id", (F.col("event_id") % 10 * 1000).alias("read_ts")).distinct()
+    return _conflicts(e.where("event_id < 300"), e)
+
+
+@_query(
+    "WITH r AS (SELECT DISTINCT event_id % 10 AS txn_id, user_id, 1000 * (event_id % 10) AS read_ts FROM events), c AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    "SELECT txn_id, r.user_id, read_ts FROM r JOIN c ON r.user_id = c.user_id WHERE newest > read_ts"
+)
+def txn_conflicts_all(spark, d):
+    """Every event is read by a transaction."""
+    e = _table(spark, d, "events")
+    return _conflicts(e, e)
+
+
+def _conflicts(read_by, e):
+    reads = read_by.select((F.col("event_id") % 10).alias("txn_id"), "user_id", (F.col("event_id") % 10 * 1000).alias("read_ts")).distinct()
     commits = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts"))
     return txn.conflicts(reads, commits, ["user_id"]).select("txn_id", "user_id", "read_ts")
 
@@ -424,6 +438,15 @@ def find_block(spark, d):
     return blocks.find_block(blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id"), ["run"], wanted, "url")
 
 
+@_query(
+    f"WITH {_LAYOUT}, m AS (SELECT run, block, min(url) AS first_key FROM bl GROUP BY 1, 2), k AS (SELECT DISTINCT url FROM pages) "
+    "SELECT run, url, arg_max(block, first_key) AS block FROM k JOIN m ON first_key <= url GROUP BY 1, 2"
+)
+def find_block_all(spark, d):
+    """Every key in every run."""
+    return blocks.find_block(blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id"), ["run"], pages(spark, d).select("url"), "url")
+
+
 @_query(
     f"WITH {_LAYOUT}, f AS (SELECT *, first_value(url) OVER (PARTITION BY run, block ORDER BY url, page_id DESC) AS head FROM bl) "
     "SELECT url, page_id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, least(length(url), length(head)) + 1)) AS n) WHERE substr(url, 1, n) = substr(head, 1, n)) AS INT) AS shared FROM f"
@@ -492,15 +515,38 @@ def binary_keys(spark, d):
 )
 def quorum_commit_index(spark, d):
     e = _table(spark, d, "events")
-    m = e.where("user_id < 60").groupBy((F.col("user_id") % 5).alias("node")).agg(F.max("event_id").alias("match_index"))
+    return _commit_index(e.where("user_id < 60"), e)
+
+
+@_query(
+    "WITH m AS (SELECT user_id % 5 AS node, max(event_id) AS match_index FROM events GROUP BY 1), k AS (SELECT match_index FROM m ORDER BY match_index DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM m)) "
+    "SELECT max(event_id) AS commit_index FROM events, k WHERE event_id <= match_index AND event_id // 500 = 3"
+)
+def quorum_commit_index_all(spark, d):
+    """The matches of all users."""
+    e = _table(spark, d, "events")
+    return _commit_index(e, e)
+
+
+def _commit_index(matched, e):
+    m = matched.groupBy((F.col("user_id") % 5).alias("node")).agg(F.max("event_id").alias("match_index"))
     log = e.select(F.col("event_id").alias("index"), F.floor(F.col("event_id") / 500).alias("term"))
     return quorum.commit_index(m, log, 3)
 
 
 @_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events WHERE event_id < 700 GROUP BY 1")
 def quorum_votes(spark, d):
-    v = _table(spark, d, "events").where("event_id < 700").select((F.col("user_id") % 7).alias("candidate"), F.col("event_type").isin("click", "view", "purchase").alias("granted"))
-    return quorum.elected(v)
+    return _elected(_table(spark, d, "events").where("event_id < 700"))
+
+
+@_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events GROUP BY 1")
+def quorum_votes_all(spark, d):
+    """Every event is a vote."""
+    return _elected(_table(spark, d, "events"))
+
+
+def _elected(e):
+    return quorum.elected(e.select((F.col("user_id") % 7).alias("candidate"), F.col("event_type").isin("click", "view", "purchase").alias("granted")))
 
 
 # ---- relational queries over snapshots
