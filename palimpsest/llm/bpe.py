@@ -1,6 +1,6 @@
-"""Byte-level BPE encoding and decoding by corpus-level merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over chunks of the corpus.
 
-The distinct pre-tokens of a chunk of the corpus are laid out as one linked sequence of tokens. An inverted index leads from each
+The pre-tokens of a chunk that its worker has not met yet are laid out as one linked sequence of tokens. An inverted index leads from each
 adjacent pair (named by the rank of its concatenation) to the positions where it stands. The ranks come off a queue in order; each
 is applied to all its positions at once, and only the pairs of the touched neighbours are looked up and indexed again.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import chunks, hex_digests, id_text, ranges
+from palimpsest.llm.common import chunks, frugal, hex_digests, id_text, model, ranges
 
 NEVER = np.int32(2**31 - 1)
 #: Pre-tokens that a worker remembers before it starts anew, and the text it encodes at once.
-REMEMBERED, ENCODE_BYTES = 800_000, 12 << 20
+REMEMBERED, ENCODE_BYTES = 200_000, 4 << 20
+#: Pre-tokens of more bytes are merged one by one with a heap, as tokens that must be taken place by place make the index slow there.
+LONG_WORD = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,19 +45,20 @@ class MergeReplay:
         for token, r in ranks.items():
             self.vocabulary[r] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs: dict[int, int] = {}
+        keys, values = array("Q"), array("i")
         self.risky = np.zeros(len(self.vocabulary), bool)
         for token, r in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = r
+                    keys.append(left << 32 | right)
+                    values.append(r)
                     for part in (left, right):
                         if part > r:
                             self.risky[part] = True
-        keys = np.fromiter(pairs, np.uint64, len(pairs))
+        keys = np.frombuffer(keys, np.uint64)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        self.pair_keys, self.pair_ranks = keys[order], np.frombuffer(values, np.int32)[order]
         lengths = np.array([len(x) for x in self.vocabulary], np.int64)
         self.token_length, self.token_start = lengths, np.cumsum(lengths) - lengths
         self.token_bytes = np.frombuffer(b"".join(self.vocabulary), np.uint8)
@@ -68,6 +72,37 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all words, one after the other, and how many each word has."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._replayed(words)
+        tokens, count = self._replayed([b"" if len(w) > LONG_WORD else w for w in words])
+        parts = np.split(tokens, np.cumsum(count)[:-1])
+        for i in long:
+            parts[i] = self.merged(words[i])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def merged(self, word: bytes) -> np.ndarray:
+        """One long word: the pair of lowest rank, then the leftmost, is joined until there is none."""
+        tok = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(tok)
+        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
+        known = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        heap = [(r, i) for i in range(n - 1) if (r := known.get(tok[i] << 32 | tok[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = nxt[i]
+            if tok[i] < 0 or j < 0 or known.get(tok[i] << 32 | tok[j]) != r:
+                continue  # one of the two has been joined with another since
+            tok[i], tok[j], nxt[i] = r, -1, nxt[j]
+            if nxt[i] >= 0:
+                prv[nxt[i]] = i
+            for a in (prv[i], i):
+                if a >= 0 and nxt[a] >= 0 and (r := known.get(tok[a] << 32 | tok[nxt[a]])) is not None:
+                    heapq.heappush(heap, (r, a))
+        return np.array([t for t in tok if t >= 0], np.int32)
+
+    def _replayed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         n = len(tok)
@@ -178,9 +213,6 @@ class Encoder:
             yield self.tokens[ranges(self.start[x], self.count[x])] if len(x) else np.zeros(0, np.int32)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encode(docs: DataFrame, tokenizer_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, and with ``with_ids`` the ``token_ids`` themselves.
 
@@ -190,9 +222,7 @@ def encode(docs: DataFrame, tokenizer_path: str, pattern: str, with_ids: bool =
 
     def run(batches):
         path, table = ranks.value
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = Encoder(table, pattern)
-        coder = _ENCODERS[path, pattern]
+        coder = model(f"{path} {pattern}", lambda: Encoder(table, pattern))
         for ids, texts in chunks(batches, ENCODE_BYTES):
             counts, digests, back, every = [], [], [], []
             for tokens in coder.encode(texts):
@@ -206,7 +236,7 @@ def encode(docs: DataFrame, tokenizer_path: str, pattern: str, with_ids: bool =
                 out["token_ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(np.concatenate(every), pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+    return id_text(docs).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -221,4 +251,4 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [b"".join(map(vocabulary.__getitem__, x or ())).decode("utf-8", "replace") for x in b.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(frugal(run), "doc_id long, text string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes a Python worker handles at once; numpy temporaries are a small multiple of it.
@@ -22,20 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` only: whatever else the input carries can't clash with an output. Null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(doc_id, text)`` and ``more`` only: whatever else the input carries can't clash with an output. Null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else (one machine) a temporary one."""
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else (one machine only) a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of the tables that ``df`` reads: for files their bytes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that names every row, and the name of that column.
+
+    It is doc_id where that is unique and never null, which is looked up here; such names of neighbouring rows compress well. Else the table is
+    written once with a number for each row, so that rows keep theirs however often they are read.
+    """
+    name, known = fresh_name(docs, "row_key"), F.col("doc_id").cast("long")
+    if not docs.groupBy(known.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").take(1):
+        return docs.withColumn(name, known), name
+    return written(docs.sparkSession, docs.withColumn(name, F.monotonically_increasing_id()), "named"), name
+
+
 def written(spark: SparkSession, df: DataFrame, what: str, narrow: bool = False) -> DataFrame:
     """Cut the lineage at a Parquet table in the shared folder; lost executors cost only their running tasks.
 
@@ -48,10 +78,47 @@ def written(spark: SparkSession, df: DataFrame, what: str, narrow: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete what written() made, once nothing that is still to run reads it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for df in tables:
+        if df is not None and (files := df.inputFiles()):
+            at = path(files[0]).getParent()
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+# ---- workers
+
+_MODEL: dict[str, object] = {}
+
+
+def model(name: str, build: Callable[[], object]) -> object:
+    """What this worker has built under a name. It keeps one such thing, so those of operators that follow each other don't add up."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = build()
+    return _MODEL[name]
+
+
+def trim() -> None:
+    """Give unused memory back to the system."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def frugal(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. Spark uses its workers again: after each task they give what they don't need back to the system."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()  # by name: what a module holds is not shipped with the function
+
+    return whole
 
 
 def chunks(batches: Iterable[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import dropped, written
 
 
 def _hung(links: DataFrame, small: bool) -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(sums) == state or not sums[0]:
             break
-        state = tuple(sums)
+        state, before = tuple(sums), now
         now = written(spark, _hung(_hung(now, small=False), small=True), "stars", narrow=True)
+        dropped(spark, before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks
+from palimpsest.llm.common import chunks, frugal
 
 # Element names, and the words in class, id and role that mark what is not part of an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -252,4 +252,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"page_id": ids, "url": urls, "text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
 
     rows = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,7 @@
 
 Both substring operators use this module; one counts windows of words, the other windows of bytes. A row of the shuffle holds all strings
 that one chunk of the corpus sends to one bucket, compressed together. Equal strings of a chunk travel once, with the list of their places,
-so that a group of copies costs a few bytes for each copy. A document is named by ``row_key``.
+so that a group of copies costs a few bytes for each copy. A row is named by ``row_key``.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, chunks, id_text, mix, mix_in_place, powers, prefix_hash, ranges, span_hash, written
+from palimpsest.llm.common import byte_values, chunks, frugal, id_text, input_bytes, mix, mix_in_place, powers, prefix_hash, ranges, span_hash, with_key, written
 
 #: Bases of the two hashes of a string; compared bytes decide, hashes only sort.
 BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
@@ -27,26 +27,21 @@ PACKED = "bucket int, text binary, places binary"
 SPANS = "row_key long, start int, end int"
 
 
-def row_key(docs: DataFrame) -> Column:
-    """The name of a row, from columns doc_id and text.
-
-    It is doc_id where that is unique and never null, which is looked up here; such keys of neighbouring rows compress well. Else it is a hash
-    of doc_id and text, which only rows with the same doc_id and text share.
-    """
-    key = F.col("doc_id").cast("long")
-    odd = docs.groupBy(key.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    return F.xxhash64(key, F.coalesce(F.col("text").cast("string"), F.lit(""))) if odd.take(1) else key
+#: Bytes of input to a bucket, all of which one worker holds with several arrays of that size.
+BUCKET_BYTES = 5 << 18
 
 
-def keyed(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    """``doc_id, text, row_key``."""
-    return id_text(docs).withColumn("row_key", row_key(docs) if key is None else key)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row_key``; row_key names each row, see with_key()."""
+    named, key = with_key(docs)
+    return id_text(named, F.col(key).alias("row_key"))
 
 
 def n_buckets(docs: DataFrame) -> tuple[int, int]:
-    """Partitions of the shuffle and buckets in all; eight buckets to a partition keep the one in memory small."""
+    """Partitions of the shuffle and buckets in all: enough for the bytes of the input, and eight buckets to a partition at least."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return n, 8 * n
+    buckets = max(8 * n, min(-(-input_bytes(docs) // BUCKET_BYTES), 1 << 30))
+    return max(n, buckets // 64), buckets
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -232,7 +227,7 @@ def by_bucket(shuffled: DataFrame, solve: Callable[[list[tuple[bytes, bytes]]],
                 held.append((text.as_py(), places.as_py()))
         yield from flush()
 
-    return shuffled.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
+    return shuffled.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), SPANS)
 
 
 def merged_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +285,6 @@ def without_spans(rows: DataFrame, spans: DataFrame, report: Callable[[pa.Array,
                 yield report(ids, texts, [merged_runs(s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else none for s, e in zip(starts, ends, strict=True)])
 
     marked = rows.select("doc_id", "text", "row_key", _bit().alias("bit"))
-    joined = marked.mapInArrow(chosen, "doc_id long, text string, row_key long").join(lists.hint("merge"), "row_key", "left")
+    joined = marked.mapInArrow(frugal(chosen), "doc_id long, text string, row_key long").join(lists.hint("merge"), "row_key", "left")
     joined = joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    return marked.mapInArrow(apart, schema).unionByName(joined.mapInArrow(cut_out, schema))
+    return marked.mapInArrow(frugal(apart), schema).unionByName(joined.mapInArrow(frugal(cut_out), schema))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, id_text, mix
+from palimpsest.llm.common import chunks, dropped, frugal, id_text, mix, written
 
 ROWS_PER_LANGUAGE = 600
 MIN_SHARE = 0.01
@@ -136,13 +136,13 @@ class Filter:
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Filter:
-    """From ``doc_id, text, lang``. The driver gets counted n-grams of the sample only, and builds the filter."""
+    """From ``doc_id, text, lang``. N-grams of the sample are counted by the executors; the driver gets those that go into the filter."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).collect()}
     if not sizes:
         return Filter.fitted({})
     share = F.create_map([x for k, n in sizes.items() for x in (F.lit(k), F.lit(rows_per_language / n))])
-    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
+    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
     sample = labelled.where(unit < share[F.col("lang")]).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
 
     def count(batches):
@@ -158,16 +158,18 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Filt
                     held[lang] += [np.unique(h) for _, h, _, _ in text_grams([text])]
         for lang, parts in held.items():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "rows": [rows[lang]], "keys": [keys.tobytes()], "n": [n.astype(np.int32).tobytes()]})
+            keys, n = np.r_[keys.view(np.int64), 0], np.r_[n, rows[lang]]
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "key": pa.array(keys), "n": pa.array(n), "is_gram": pa.array(np.r_[np.ones(len(n) - 1, bool), False])})
 
-    got: dict[str, list] = defaultdict(list)
-    for r in sample.mapInArrow(count, "lang string, rows long, keys binary, n binary").collect():
-        got[r[0]].append((r[1], np.frombuffer(r[2], np.uint64), np.frombuffer(r[3], np.int32)))
+    counted = sample.mapInArrow(frugal(count), "lang string, key long, n long, is_gram boolean").groupBy("lang", "is_gram", "key").agg(F.sum("n").alias("n"))
+    counted = written(labelled.sparkSession, counted, "grams", narrow=True)
+    rows = {r[0]: r[1] for r in counted.where("not is_gram").select("lang", "n").collect()}
+    # of the bounded sample only n-grams that enough of its rows share come to the driver
     members = {}
-    for lang, parts in got.items():
-        keys, where = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
-        seen = np.bincount(where, weights=np.concatenate([n for _, _, n in parts]))
-        members[lang] = keys[seen >= max(1, MIN_SHARE * sum(r for r, _, _ in parts))]
+    for lang, n in rows.items():
+        keys = counted.where(F.col("is_gram") & (F.col("lang") == lang) & (F.col("n") >= max(1, MIN_SHARE * n))).select("key").toPandas()["key"]
+        members[lang] = keys.to_numpy(np.int64).view(np.uint64)
+    dropped(labelled.sparkSession, counted)
     return Filter.fitted(members)
 
 
@@ -181,9 +183,9 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
             names, scores = fitted.predict(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "lang_pred": names, "score": pa.array(scores, pa.float64())})
 
-    return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_text(docs).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out():
-    """The rows that nothing is learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """The rows that nothing is learned from; a null doc_id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))

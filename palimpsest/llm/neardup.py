@@ -2,14 +2,15 @@
 
 Words are lower-cased (A-Z) runs of letters and digits; everything beyond ASCII belongs to words. A shingle is five consecutive words (the
 whole text where it has fewer), its weight the number of times it stands in the text times the mean inverse document frequency of its words.
-Document frequencies cover all documents and are kept for 65,536 hashed word slots, whatever the size of the corpus.
+Document frequencies cover all documents and are kept for SLOTS hashed words, whatever the size of the corpus.
 
-Texts with the same words are one node. Each node draws SAMPLES weighted samples, consistently: two nodes draw the same one with the
-probability of their weighted Jaccard similarity. BANDS of ROWS samples name the buckets it falls into. Pairs are verified by their weighted
-Jaccard similarity, THRESHOLD or more, from their whole texts. In each round a bucket's leads are compared with all its members that are not
-in their component, and are done with; it is used up when its other members are of one component. So every two members of a bucket
-end in one component or have been compared, but for pairs that can't reach the threshold: one text weighs too little beside the other, or their
-distances from a lead differ too much (1 - similarity is a metric). The first round has one lead to a bucket, later ones more and more.
+Texts with the same words are one node. Each node draws weighted samples, consistently: two nodes draw the same one with the
+probability of their weighted Jaccard similarity. Bands of samples name the buckets it falls into. Pairs are verified by their weighted
+Jaccard similarity, THRESHOLD or more, from their whole texts: first each member of a bucket with its lead, the least node; then, where
+the others are of several components, every two members of different components. For that the texts of a bucket meet in blocks of
+BLOCK_WORDS words, each two blocks in one task, which returns only links that join components. No pair of a bucket is left out. Members of buckets
+that would take more than MOST_BLOCKS blocks are dealt anew by the narrower bands of the next of the LEVELS; buckets of the last are
+judged however many blocks they have. Two texts of similarity 0.8 share no band of the first level in 4e-5 of cases, none of the second in 6e-4.
 
 Null and empty texts, and texts without words, are classes of their own. Rows with the same words always share a class, so repeated rows do.
 The class is named by its smallest doc_id (a null doc_id counts as larger than all). Empty tables give empty results. Other columns are ignored.
@@ -23,16 +24,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, chunks, mix, prefix_hash, ranges, span_hash, written
+from palimpsest.llm.common import byte_values, chunks, frugal, id_text, mix, prefix_hash, ranges, span_hash, with_key, written
 from palimpsest.llm.graph import components
-from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, row_key, string_hash
+from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, string_hash
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 14, 3
-SAMPLES = BANDS * ROWS
-SLOTS = 1 << 16
-#: From the second round on a bucket has GROWTH ** round leads, or as many as make ALL_PAIRS pairs if that is more.
-GROWTH, ALL_PAIRS = 4, 4096
+#: Bands, and samples to a band, at each level.
+LEVELS = ((14, 3), (40, 8))
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+#: Words of a block of texts, and how many blocks a bucket may have before its members go to the next level.
+BLOCK_WORDS, MOST_BLOCKS = 250_000, 16
 
 _NORMAL = np.frombuffer(bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256)), np.uint8)
 
@@ -51,7 +53,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slots(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(48)).astype(np.int64) % SLOTS
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Weights:
@@ -85,17 +87,17 @@ class Sampler:
         self.r = rng.gamma(2, 1, 1 << 16).astype(np.float32)
         self.log_c = np.log(rng.gamma(2, 1, 1 << 16)).astype(np.float32)
 
-    def bands(self, h: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """[texts with shingles, BANDS] bucket names."""
-        count = count[count > 0]
+    def bands(self, h: np.ndarray, weight: np.ndarray, count: np.ndarray, level: int = 0) -> np.ndarray:
+        """[texts with shingles, bands] bucket names."""
+        count, (bands, rows) = count[count > 0], LEVELS[level]
         if not len(count):
-            return np.zeros((0, BANDS), np.int64)
+            return np.zeros((0, bands), np.int64)
         first = np.cumsum(count) - count
         text = np.repeat(np.arange(len(count)), count)
         log_w = np.log(weight)
         drawn = []
         low = np.uint64(0xFFFF)
-        for k in range(SAMPLES):
+        for k in range(bands * rows):
             x = (h ^ np.uint64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))) * np.uint64(0x9FB21C651E98DF25)
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
@@ -107,11 +109,11 @@ class Sampler:
             at = np.flatnonzero(log_a == np.repeat(least, count))
             at = at[np.r_[True, text[at[1:]] != text[at[:-1]]]]
             drawn.append(mix(h[at] + mix(t[at].astype(np.int64).astype(np.uint64) + np.uint64(k))))
-        out = np.empty((len(count), BANDS), np.uint64)
-        for b in range(BANDS):
-            name = np.full(len(count), np.uint64(b + 1))
-            for k in range(ROWS):
-                name = mix(name * np.uint64(31) + drawn[b * ROWS + k])
+        out = np.empty((len(count), bands), np.uint64)
+        for b in range(bands):
+            name = np.full(len(count), np.uint64(1000 * level + b + 1))
+            for k in range(rows):
+                name = mix(name * np.uint64(31) + drawn[b * rows + k])
             out[:, b] = name
         return out.view(np.int64)
 
@@ -129,13 +131,11 @@ def document_frequencies(rows: DataFrame) -> Weights:
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(np.r_[there, -1], pa.int32()), "n": pa.array(np.r_[seen[there], n], pa.int64())})
 
+    got = rows.select("doc_id", "text").mapInArrow(frugal(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    slot, seen = got["slot"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     df = np.zeros(SLOTS)
-    n = 0
-    for r in rows.select("doc_id", "text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        if r[0] < 0:
-            n = r[1]
-        else:
-            df[r[0]] = r[1]
+    df[slot[slot >= 0]] = seen[slot >= 0]
+    n = int(seen[slot < 0].sum())
     return Weights(1 + np.log((1 + n) / (1 + df)))
 
 
@@ -157,10 +157,10 @@ def sketches(rows: DataFrame, weights: Weights) -> DataFrame:
                 mass = np.bincount(np.repeat(np.arange(len(n)), size), weights=w, minlength=len(n))
                 bands = sampler.bands(h, w, size)
                 flat = pa.array(bands.ravel(), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((n > 0) * BANDS)], pa.int32()), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((n > 0) * LEVELS[0][0])], pa.int32()), flat)
                 yield pa.RecordBatch.from_pydict({"row_key": keys, "doc_id": ids, "n_words": pa.array(n, pa.int64()), "words_a": pa.array(a), "words_b": pa.array(c), "mass": pa.array(mass, pa.float64()), "bands": lists})
 
-    return rows.mapInArrow(run, "row_key long, doc_id long, n_words long, words_a long, words_b long, mass double, bands array<long>")
+    return rows.mapInArrow(frugal(run), "row_key long, doc_id long, n_words long, words_a long, words_b long, mass double, bands array<long>")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _texts(rows: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"row_key": b.column("row_key"), "z": pa.array([z.compress(x.as_py().encode("utf-8", "replace")) for x in b.column("text")], pa.binary())})
 
-    return rows.select("row_key", "text").mapInArrow(run, "row_key long, z binary")
+    return rows.select("row_key", "text").mapInArrow(frugal(run), "row_key long, z binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -207,44 +207,137 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
         similarity = np.where(union > 0, common / np.maximum(union, 1e-12), 0.0)
         return pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": pa.array(similarity)})
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(frugal(run), "a long, b long, similarity double")
 
 
-def _led(rest: DataFrame, turn: int) -> DataFrame:
-    """The members of the buckets that are not used up, with the ``pivot`` of each bucket and whether the member is a ``lead``.
+def _narrower(texts: DataFrame, weights: Weights, level: int) -> DataFrame:
+    """``node, bucket`` of whole texts at a further level."""
+    idf = texts.sparkSession.sparkContext.broadcast(weights.idf)
 
-    The pivot is the least node of the smallest component; more leads are drawn by hash from all components but the largest.
-    """
-    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-    state = sizes.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"), F.min(F.struct("c", "component", "least")).alias("first")
-    )
-    live = rest.join(state.where("parts > 1").hint("merge"), "bucket")
-    lead = F.col("node") == F.col("first.least")
-    if turn:
-        wanted = F.greatest(F.lit(float(GROWTH**turn)), F.lit(float(ALL_PAIRS)) / F.col("n")) / (F.col("n") - F.col("main.c"))
-        lead |= (F.col("component") != F.col("main.component")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) < wanted * (1 << 30))
-    return live.select("bucket", "node", "component", "mass", "far", F.col("first.least").alias("pivot"), lead.alias("lead"))
+    def run(batches):
+        scale, sampler, z = Weights(idf.value), Sampler(), zstandard.ZstdDecompressor()
+        for b in batches:
+            for key, text in zip(b.column("row_key"), b.column("z"), strict=True):
+                names = sampler.bands(*scale.shingles(*word_hashes([z.decompress(text.as_py())])), level).ravel()
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(names), key.as_py()), pa.int64()), "bucket": pa.array(names, pa.int64())})
 
+    return texts.mapInArrow(frugal(run), "node long, bucket long")
 
-def _candidates(live: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: leads with the members of other components that may reach the threshold."""
-    lead = live.where("lead").select("bucket", F.col("node").alias("l_node"), F.col("component").alias("l_component"), F.col("mass").alias("l_mass"), F.col("far").alias("l_far"))
-    apart = F.coalesce(F.exists(F.zip_with("far", "l_far", lambda x, y: F.abs(x - y) > 1 - threshold + 1e-4), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
-    heavy = F.least("mass", "l_mass") >= F.greatest("mass", "l_mass") * (threshold - 1e-4)
-    both = live.join(lead.hint("merge"), "bucket").where((F.col("component") != F.col("l_component")) & (~F.col("lead") | (F.col("node") > F.col("l_node"))) & heavy & ~apart)
-    return both.select(F.greatest("node", "l_node").alias("a"), F.least("node", "l_node").alias("b")).distinct()
 
+def _company(member: DataFrame) -> DataFrame:
+    """Members of buckets that have more than one."""
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return member.join(shared.hint("merge"), "bucket", "left_semi")
+
+
+def joins(raw: list[bytes], node: np.ndarray, component: np.ndarray, block: np.ndarray, scale: Weights, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different components, as many as join what belongs together. With two blocks only pairs of both count."""
+    h, w, n = scale.shingles(*word_hashes(raw))
+    text, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    column = np.unique(h, return_inverse=True)[1]
+    mass = np.bincount(text, weights=w, minlength=len(n))
+    root = np.unique(component, return_inverse=True)[1]
+    largest = root == np.bincount(root).argmax()  # its members are not compared with each other
+    across, held = block.min() != block.max(), np.zeros(len(h), np.float32)
+    open_, out = np.ones(len(n), bool), []
+    for a in np.flatnonzero(~largest):
+        open_[a] = False  # compared with all from here on
+        able = open_ & (root != root[a]) & (np.minimum(mass, mass[a]) >= np.maximum(mass, mass[a]) * (threshold - 1e-4))
+        if across:
+            able &= block != block[a]
+        if not able.any():
+            continue
+        own = slice(ends[a] - n[a], ends[a])
+        held[column[own]] = w[own]
+        common = np.bincount(text, weights=np.minimum(w, held[column]), minlength=len(n))
+        held[column[own]] = 0
+        for b in np.flatnonzero(able & (common >= (threshold - 1e-6) * (mass + mass[a] - common))):
+            if root[b] != root[a]:
+                out.append((int(node[a]), int(node[b])))
+                root[root == root[b]] = root[a]
+    return out
+
+
+def _block_links(live: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """``a, b`` between components, from ``bucket, node, component, blocks``: each two blocks of a bucket meet in one task."""
+    idf = live.sparkSession.sparkContext.broadcast(weights.idf)
+    dealt = live.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "block")
+    met = met.join(texts.withColumnRenamed("row_key", "node").hint("merge"), "node")
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size, n_links, kept``.
+    def run(batches):
+        scale, z = Weights(idf.value), zstandard.ZstdDecompressor()
+        held: list[tuple] = []
+        now = None
+
+        def flush():
+            if len(held) > 1:
+                _, _, _, node, component, block, text = zip(*held, strict=True)
+                found = joins([z.decompress(x) for x in text], *(np.array(x, np.int64) for x in (node, component, block)), scale, threshold)
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([max(x) for x in found], pa.int64()), "b": pa.array([min(x) for x in found], pa.int64())})
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in ("bucket", "i", "j", "node", "component", "block", "z")), strict=True):
+                if row[:3] != now:
+                    yield from flush()
+                    held, now = [], row[:3]
+                held.append(row)
+        yield from flush()
 
-    ``n_links``: verified links of the row's words to other texts; ``kept``: the row with the class's smallest doc_id. Rows that repeat doc_id
-    and text are all kept if one is; without_near_copies() leaves one of them.
-    """
+    n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.select("bucket", "i", "j", "node", "component", "block", "z")
+    return met.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(frugal(run), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, kept``; ``kept``: one row with the class's smallest doc_id."""
     return _classes(keyed(docs), threshold).drop("row_key")
 
 
+def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
+    """``node, component`` of the nodes that have links."""
+    spark, found = rows.sparkSession, None
+    size = nodes.select("node", "mass", "n_words")
+    member = written(spark, _company(nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))).join(size.hint("merge"), "node"), "buckets")
+    wanted = member.select(F.col("node").alias("row_key")).distinct()
+    texts = written(spark, _texts(rows).join(wanted.hint("merge"), "row_key", "left_semi"), "texts")
+    for level in range(len(LEVELS)):
+        lead = member.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("lead"))
+        heavy = F.least("mass", "lead.mass") >= F.greatest("mass", "lead.mass") * (threshold - 1e-4)  # else no similarity that counts
+        pairs = member.join(lead.hint("merge"), "bucket").where((F.col("node") != F.col("lead.node")) & heavy)
+        judged = verified(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), texts, weights)
+        links = written(spark, judged.where(F.col("similarity") >= threshold - 1e-6).select("a", "b"), "links", narrow=True)
+        found = _joined(found, links)
+        # the leads have been compared with all that is left of their buckets
+        rest = member.join(lead.select("bucket", F.col("lead.node").alias("node")).hint("merge"), ["bucket", "node"], "left_anti").select("bucket", "node", "n_words")
+        if found is not None:
+            rest = rest.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        else:
+            rest = rest.withColumn("component", F.col("node"))
+        state = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n_words").alias("words"))
+        state = state.where("least != most").select("bucket", F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("blocks"))
+        live = written(spark, rest.join(state.hint("merge"), "bucket").select("bucket", "node", "component", "blocks"), "live", narrow=True)
+        last = level + 1 == len(LEVELS)
+        links = written(spark, _block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links", narrow=True)
+        found = _joined(found, links)
+        large = None if last else live.where(F.col("blocks") > MOST_BLOCKS).select(F.col("node").alias("row_key")).distinct()
+        if large is None or not large.take(1):
+            return found
+        named = _narrower(texts.join(large.hint("merge"), "row_key", "left_semi"), weights, level + 1)
+        member = written(spark, _company(written(spark, named, "narrower")).join(size.hint("merge"), "node"), "buckets")
+    return found
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components with further links."""
+    if not links.take(1):
+        return found
+    had = links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(had)
+
+
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     weights = document_frequencies(rows)
@@ -252,58 +345,27 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     # texts with the same words are one node, named by its least key; texts without words stay apart
     named = sketch.withColumn("alone", F.when(F.col("n_words") == 0, F.col("row_key")))
     same = ["n_words", "words_a", "words_b", "alone"]
-    nodes = written(spark, named.groupBy(*same).agg(F.min("row_key").alias("node"), F.first("mass").alias("mass"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))
-    # buckets with company
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    member = written(spark, member.join(shared.hint("merge"), "bucket", "left_semi"), "buckets")
-    wanted = member.select(F.col("node").alias("row_key")).distinct()
-    texts = written(spark, _texts(rows).join(wanted.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]), "texts")
-    mass = nodes.select("node", "mass")
-    rest = member.join(mass.hint("merge"), "node").select("bucket", "node", F.col("node").alias("component"), "mass", F.array().cast("array<double>").alias("far"))
-    links, tested, found, turn = None, None, None, 0
-    while True:
-        live = written(spark, _led(rest, turn), "leads", narrow=True)
-        if not live.take(1):
-            break
-        pairs = _candidates(live, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        judged = written(spark, verified(pairs, texts, weights), "verified")
-        tested = judged if tested is None else tested.unionByName(judged)
-        fresh = judged.where(F.col("similarity") >= threshold - 1e-6)
-        if fresh.take(1):
-            links = fresh if links is None else links.unionByName(fresh)
-            found = components(links)
-        # leads have been compared with all that is left of their buckets
-        left = live.where("not lead").withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).drop("component")
-        left = left.join(tested.hint("merge"), ["a", "b"], "left").withColumn("far", F.concat("far", F.array(1 - F.col("similarity"))))
-        if found is None:
-            left = left.withColumn("component", F.col("node"))
-        else:
-            left = left.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = written(spark, left.select("bucket", "node", "component", "mass", "far"), "rest", narrow=True)
-        turn += 1
-    if links is None:
-        part = nodes.select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row_key")).alias("first")
+    nodes = named.groupBy(*same).agg(F.min("row_key").alias("node"), F.first("mass").alias("mass"), F.first("bands").alias("bands"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), first)
+    nodes = written(spark, nodes, "nodes")
+    found = _linked(nodes, rows, weights, threshold)
+    part = nodes.select(*same, "node", "copies", "least_id", "first")
+    if found is None:
+        part = part.withColumn("component", F.col("node"))
     else:
-        ends = links.select("a", "b").distinct()
-        degree = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-        part = nodes.select("node").join(found.hint("merge"), "node", "left").join(degree.hint("merge"), "node", "left")
-        part = part.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    part = written(spark, part, "components", narrow=True)
-    key = nodes.select("n_words", "words_a", "words_b", F.col("alone").alias("alone_"), "node")
-    placed = named.join(key.hint("merge"), (named.n_words == key.n_words) & (named.words_a == key.words_a) & (named.words_b == key.words_b) & named.alone.eqNullSafe(key.alone_))
-    placed = written(spark, placed.select("row_key", "doc_id", "node").join(part.hint("merge"), "node").select("row_key", "doc_id", "component", "n_links"), "placed")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias("first")
-    summary = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), first)
-    out = placed.join(summary.hint("merge"), "component")
-    return out.select("row_key", "doc_id", "class_id", "class_size", "n_links", (F.col("row_key") == F.col("first.row_key")).alias("kept"))
+        part = part.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = written(spark, part, "components")
+    # classes are summed up over nodes, so a group of copies is one row; what follows joins tables as they are, and Spark splits hot keys
+    summary = part.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
+    summary = written(spark, summary, "summary", narrow=True)
+    of = part.select(*same, "component").join(summary.hint("merge"), "component")
+    of = written(spark, of.select("n_words", "words_a", "words_b", F.col("alone").alias("alone_"), "class_id", "class_size", F.col("first.row_key").alias("kept_key")), "classes")
+    out = named.join(of.hint("merge"), (named.n_words == of.n_words) & (named.words_a == of.words_a) & (named.words_b == of.words_b) & named.alone.eqNullSafe(of.alone_))
+    return out.select("row_key", "doc_id", "class_id", "class_size", (F.col("row_key") == F.col("kept_key")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each class, with all its columns."""
-    key = row_key(docs)
-    kept = _classes(keyed(docs, key), threshold).where("kept").select(F.col("row_key").alias("__key")).distinct()
-    named = docs.withColumn("__key", key)
-    return named.join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    named, key = with_key(docs)
+    kept = _classes(id_text(named, F.col(key).alias("row_key")), threshold).where("kept").select(F.col("row_key").alias(key))
+    return named.join(kept.hint("merge"), key, "left_semi").drop(key)

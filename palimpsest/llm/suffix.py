@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import CHUNK_BYTES, chunks, hex_digests, mix, ranges
+from palimpsest.llm.common import CHUNK_BYTES, chunks, frugal, hex_digests, mix, ranges
 from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, same, short_hash, unpacked, without_spans
 
 LENGTH, GRAM = 50, 12
@@ -208,7 +208,7 @@ def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                     rows = list(packed(buf, first, n + length - 1, bucket, of, 4))
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "text": [x[1] for x in rows], "places": [x[2] for x in rows]})
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(frugal(run), PACKED)
 
 
 def _may_repeat(buf: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, members: np.ndarray, length: int, gram: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, hex_digests, mix, prefix_hash, ranges, span_hash
+from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, frugal, hex_digests, mix, prefix_hash, ranges, span_hash
 from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, string_hash, unpacked, without_spans
 
 WINDOW, GRAM = 35, 5
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
                     rows = list(packed(buf, start, length + 1, bucket.astype(np.int64), of, 2))
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "text": [x[1] for x in rows], "places": [x[2] for x in rows]})
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(frugal(run), PACKED)
 
 
 def _solver(window: int):

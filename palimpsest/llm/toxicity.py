@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, filtered, id_text, mix, prefix_hash, ranges, span_hash
+from palimpsest.llm.common import chunks, filtered, frugal, id_text, mix, prefix_hash, ranges, span_hash
 
 ROWS_PER_LABEL, WINDOWS_PER_ROW = 1200, 10
 WINDOW, STEP = 24, 16
@@ -33,7 +33,7 @@ CALIBRATION = 0.25
 GRAMS = (3, 4)
 #: Rounds over the sample, or more where it is small: LEAST_STEPS batches at least.
 ROUNDS, LEAST_STEPS, BATCH, RATE, FADE = 4, 150, 256, 0.01, 0.1
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _BASE = 0x5851F42D4C957F2D
 
 _WORD = re.compile(r"[^\W_]+")
@@ -389,8 +389,8 @@ def _informed(network: Network, word, gram, count, first, flat, at, mask, target
 
 
 def held_out() -> Column:
-    """The rows that no label is learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """The rows that no label is learned from; a null doc_id is none of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Scorer:
@@ -420,7 +420,7 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
             found = scorer.score(texts).astype(np.float64)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "score": pa.array(found), "predicted": pa.array((found >= 0.5).astype(np.int32))})
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return id_text(docs).mapInArrow(frugal(run), "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -432,4 +432,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(Network(sent.value[0]), *sent.value[1:])
         yield from filtered(batches, lambda texts: scorer.score(texts) < 0.5)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

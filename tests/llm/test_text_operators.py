@@ -84,6 +84,16 @@ def test_merge_replay_on_random_vocabularies(seed):
         at += n
 
 
+def test_long_words_take_a_heap(monkeypatch):
+    rng = random.Random(7)
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"ba": 301, b"aba": 256, b"bab": 299, b"abab": 280, b"aa": 310}
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
+    plain = [t for w in words for t in plain_merges(w, ranks)]
+    for limit in (10, 10_000):
+        monkeypatch.setattr(bpe, "LONG_WORD", limit)
+        assert bpe.MergeReplay(ranks).encode(words)[0].tolist() == plain
+
+
 # ---- 2
 
 
@@ -107,13 +117,13 @@ def test_language(spark):
 def plain_copies(rows):
     groups = {}
     for i, t in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
-    return sorted(((i, min(g)[1], len(g), sha(k)) for k, g in groups.items() for _, i in g), key=repr)
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    return sorted(((i, min(g)[3], len(g), sha(k)) for k, g in groups.items() for *_, i in g), key=repr)
 
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_copies(spark, odd, weak):
-    rows = [r for r in odd if r[0] is not None]
+    rows = odd
     out = exact.dedup(table(spark, rows), (lambda c: F.substring(exact.sha256_hex(c), 1, 1)) if weak else exact.sha256_hex)
     assert got(out, "doc_id", "keep_id", "group_size", "text_sha256") == plain_copies(rows)
     assert out.where("kept").count() == len({k for _, _, _, k in plain_copies(rows)})
@@ -122,6 +132,7 @@ def test_exact_copies(spark, odd, weak):
 
 def test_exact_copies_leave_one_row(spark, odd):
     docs = table(spark, odd)
+    docs = docs.withColumns({"row": F.lit(1), "Row_Key": F.lit(2), "digest": F.lit("d"), "__id": F.lit(3)})  # names that the operator uses
     left = exact.without_copies(docs)
     assert left.columns == docs.columns and left.count() == len({re.sub(r"\s", "", t or "") for _, t in odd})
     assert exact.dedup(table(spark, [])).count() == 0
@@ -206,15 +217,51 @@ def weighted_similarities(spark, rows):
             yield a, b, common / (sum(sets[a].values()) + sum(sets[b].values()) - common)
 
 
-def test_every_pair_of_a_bucket_is_judged(spark):
-    rows = boilerplate_rows()
+def linked_classes(spark, rows):
+    """Brute force with the operator's weights."""
     root = list(range(len(rows)))
-    near = [(a, b, x) for a, b, x in weighted_similarities(spark, rows) if x >= 0.8]
-    for a, b, _ in near:
-        root = [root[b] if r == root[a] else r for r in root]
-    classes = [(i, min(j for j in range(len(rows)) if root[j] == root[i]), root.count(root[i])) for i in range(len(rows))]
+    for a, b, x in weighted_similarities(spark, rows):
+        if x >= 0.8:
+            root = [root[b] if r == root[a] else r for r in root]
+    return sorted(((i, min(j for j in range(len(rows)) if root[j] == root[i]), root.count(root[i])) for i in range(len(rows))), key=repr)
+
+
+@pytest.mark.parametrize("block_words", [250_000, 3_000])
+def test_every_pair_of_a_bucket_is_judged(spark, monkeypatch, block_words):
+    """Also where the texts of a bucket meet in several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", 1000)
+    rows = boilerplate_rows()
+    classes = linked_classes(spark, rows)
     assert 10 < len({c for _, c, n in classes if n == 2})
-    assert got(neardup.near_duplicates(table(spark, rows)), "doc_id", "class_id", "class_size") == sorted(classes, key=repr)
+    assert got(neardup.near_duplicates(table(spark, rows)), "doc_id", "class_id", "class_size") == classes
+
+
+def test_large_buckets_go_to_narrower_bands(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", 3_000)
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", 1)
+    rows = boilerplate_rows(60)
+    assert got(neardup.near_duplicates(table(spark, rows)), "doc_id", "class_id", "class_size") == linked_classes(spark, rows)
+
+
+@pytest.mark.parametrize("edits", [4, 6])
+def test_twins_of_one_form(spark, edits):
+    """300 texts of one form of a thousand words, in 150 pairs of twins; links between families come as they may."""
+    rng = random.Random(edits)
+    vocabulary = ["".join(rng.choice("uvwxyzklm") for _ in range(7)) for _ in range(9000)]
+    form = [rng.choice(vocabulary) for _ in range(1000)]
+    rows = []
+    for _ in range(150):
+        one = list(form)
+        for _ in range(45):
+            one[rng.randrange(1000)] = rng.choice(vocabulary)
+        for _ in range(2):
+            twin = list(one)
+            for _ in range(edits):
+                twin[rng.randrange(1000)] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(twin)))
+    out = neardup.near_duplicates(table(spark, rows))
+    assert got(out, "doc_id", "class_id", "class_size") == linked_classes(spark, rows)
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
@@ -228,7 +275,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
         x = h ^ np.uint64(k * 7919)
         a, b = (neardup.Sampler().bands(np.sort(x), z[np.argsort(x)], np.array([300])) for z in (w, v))
         same += (a == b).mean()
-    assert abs(same / trials - similarity**neardup.ROWS) < 0.06
+    assert abs(same / trials - similarity ** neardup.LEVELS[0][1]) < 0.06
 
 
 def test_components(spark):
@@ -258,9 +305,9 @@ def plain_hits(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group", [8 << 20, 1])
+@pytest.mark.parametrize("group", [500_000, 7])
 def test_contamination(spark, odd, monkeypatch, group):
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", group)
+    monkeypatch.setattr(decontam, "GROUP_WINDOWS", group)
     items = [(1, "alpha BETA gamma"), (2, None), (3, "?!"), (4, odd[3][1][:300]), (5, odd[3][1][:300]), (10, "x1 it"), (6, " ".join(map(str, range(50, 90))))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontam.contamination(table(spark, odd), bench)
