@@ -41,9 +41,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of the size of the tables that ``df`` reads: for files their bytes."""
+    """What the optimizer knows of the size of the tables that ``df`` reads: for files their bytes; 0 for what has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
