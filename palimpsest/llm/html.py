@@ -2,16 +2,19 @@
 
 A page is parsed into a tree (unclosed elements are closed as browsers do for paragraphs, list items and table parts). Each paragraph-like
 block earns points for its length and its commas; its parent gets them in full, the grandparent half, further ancestors less. A candidate's
-points are discounted by its link density. The best container is kept together with those siblings that score near it or are plain prose;
-what stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is left out.
+points are discounted by its link density. The best container is kept, and of its siblings all that are not mostly links: headings, lists,
+paragraphs, bare text and containers, however short. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments is left out, and so is what the page hides.
 
-Null or empty html gives the empty text; so does a page without text. Text outside any tag counts as a block. Character references are
-decoded, broken ones stay as they are. Pages are treated one by one, so repeated rows give repeated results. Other columns are ignored.
+Null or empty html gives the empty text; so does a page without text. Text outside any tag counts as a block. Of containers that score alike
+the first counts. Character references are decoded, broken ones stay as they are. No step recurses, so elements may be nested however deep.
+Pages are treated one by one, so repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -22,8 +25,9 @@ from palimpsest.llm.common import chunks, frugal
 
 # Element names, and the words in class, id and role that mark what is not part of an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
 DROPPED = frozenset("nav footer aside form dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,7 +46,12 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|pag
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z) | <(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)> | <[/!?][^>]*+> | <[a-zA-Z/][^<>]*+> | (?P<text>[^<]++|<)""", re.S | re.X
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "sidebar"}
+#: Share of link text from which a sibling of the best container is left out, and ancestors that get points.
+LINKED, ANCESTORS = 0.5, 40
 _WHITE = re.compile(r"\s+")
 
 
@@ -59,6 +68,16 @@ def parse(html: str) -> Node:
     root = Node("html", None)
     now, at = root, 0
     n = len(html)
+    is_open: Counter[str] = Counter()
+
+    def leave(upto: Node) -> Node:
+        """Close what is open below a node."""
+        x = now
+        while x is not upto:
+            is_open[x.tag] -= 1
+            x = x.parent
+        return upto
+
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -69,11 +88,11 @@ def parse(html: str) -> Node:
             continue
         tag = m["name"].lower()
         if m["close"]:
-            x = now
-            while x.parent and x.tag != tag:
-                x = x.parent
-            if x.parent:
-                now = x.parent
+            if is_open[tag] > 0:
+                x = now
+                while x.tag != tag:
+                    x = x.parent
+                now = leave(x.parent)
             elif tag == "br":
                 now.children.append(" ")
             continue
@@ -86,13 +105,18 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS:
+        if tag == "a" and is_open["a"] > 0:
+            x = now
+            while x.tag != "a":
+                x = x.parent
+            now = leave(x.parent)
+        if tag in BLOCKS and is_open["p"] > 0:
             x = now  # a block ends the paragraph it stands in, with what is open there
             while x.parent and x.tag not in BLOCKS:
                 x = x.parent
             if x.tag == "p":
-                now = x.parent
-        if tag in CLOSES:
+                now = leave(x.parent)
+        if tag in CLOSES and any(is_open[x] > 0 for x in CLOSES[tag]):
             x, stop = now, SCOPES.get(tag, ("table",))
             last = None
             while x.parent and x.tag not in stop:
@@ -100,11 +124,12 @@ def parse(html: str) -> Node:
                     last = x
                 x = x.parent
             if last:
-                now = last.parent
+                now = leave(last.parent)
         node = Node(tag, now, _kind(m["attributes"]))
         now.children.append(node)
-        if tag not in VOID and not m["attributes"].endswith("/"):
+        if tag not in VOID and not (tag not in BLOCKS and _SELF_CLOSED.search(m["attributes"])):
             now = node
+            is_open[tag] += 1
     return root
 
 
@@ -114,11 +139,13 @@ def _kind(attributes: str) -> str:
         return ""
     out = []
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "style" and _HIDES.search(value):
             out.append("!")
-        elif name.lower() != "style":
-            out.append({"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "sidebar"}.get(value, value) if name.lower() == "role" else value)
+        elif name in ("class", "id"):
+            out.append(value.replace("!", ""))
+        elif name == "role":
+            out.append(_ROLES.get(value, ""))
     return " ".join(out)
 
 
@@ -127,7 +154,7 @@ def unwanted(node: Node, in_article: bool) -> bool:
         return True
     if node.tag == "header":
         return not in_article
-    return bool(node.kind) and node.tag not in ("article", "main") and UNWANTED.search(node.kind) is not None and not (ARTICLE.search(node.kind) and not re.search(r"comment|nav|footer|sidebar|ad\b", node.kind))
+    return bool(node.kind) and node.tag not in ("article", "main") and node.tag not in HEADINGS and UNWANTED.search(node.kind) is not None and not (ARTICLE.search(node.kind) and not re.search(r"comment|nav|footer|sidebar|ad\b", node.kind))
 
 
 def _pruned(root: Node) -> None:
@@ -162,7 +189,7 @@ def _scored(root: Node) -> list[Node]:
             points = (1 + text.count(",") + min(length / 100, 3)) * (1 - node.links / node.size)
             owner, share = (node.parent or node) if node.tag in SCORED else node, 1.0
             depth = 0
-            while owner is not None:
+            while owner is not None and depth < ANCESTORS:
                 owner.points += points * share
                 found[id(owner)] = owner
                 depth += 1
@@ -172,11 +199,17 @@ def _scored(root: Node) -> list[Node]:
 
 
 def _inline(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else _inline_child(x) for x in node.children)
-
-
-def _inline_child(node: Node) -> str:
-    return " " if node.tag == "br" else "" if node.tag in BLOCKS else _inline(node)
+    """The text of an element without that of blocks in it."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif x.tag not in BLOCKS or x is node:
+            stack += reversed(x.children)
+    return "".join(out)
 
 
 def _bonus(node: Node) -> float:
@@ -226,17 +259,25 @@ def extract(html: str | None) -> str:
         return (x.points + _bonus(x)) * (1 - x.links / x.size if x.size else 1)
 
     best = max(candidates, key=value)
-    top = value(best)
-    if best.parent is None:
-        return "\n".join(blocks(best))
-    kept = []
-    for x in best.parent.children:
-        if isinstance(x, str):
+    top, around = value(best), best.parent or best
+    kept = Node(around.tag, None)
+    run: list = []  # bare text and inline elements that stand together
+
+    def end_run() -> None:
+        size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in run)
+        if sum(0 if isinstance(x, str) else x.links for x in run) <= LINKED * size:
+            kept.children.extend(run)
+        run.clear()
+
+    for x in around.children:
+        if isinstance(x, str) or x.tag not in BLOCKS and x is not best:
+            run.append(x)
             continue
-        density = x.links / x.size if x.size else 1.0
-        if x is best or (x.points and value(x) >= max(10.0, top / 5)) or (x.tag in ("p", "h1", "h2") and x.size > 80 and density < 0.25):
-            kept += blocks(x)
-    return "\n".join(kept)
+        end_run()
+        if x is best or x.links < LINKED * x.size or (x.points and value(x) >= max(10.0, top / 5)):
+            kept.children.append(x)
+    end_run()
+    return "\n".join(blocks(kept) or blocks(root))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

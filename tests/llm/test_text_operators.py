@@ -397,12 +397,68 @@ def test_windows_cover_every_word():
         ('<body><div class="ad">Buy, buy, buy.</div><div id=content><p>Long prose, with commas, and more of it.</p><div class="comments"><p>I, too, think so.</p></div><form><p>Sign up</p></form></div></body>', "Long prose, with commas, and more of it."),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><!-- no --></article>", "a\nb\nc\nd"),
         ("<article><p><b>Open, bold<p>next, one</article>", "Open, bold\nnext, one"),
+        # attributes count by name and value
+        ('<article><p aria-hidden="false">One.</p><p title="a hidden gem">Two.</p><p data-id="sidebar">Three.</p><p hidden>No.</p><p style="color:red; display: none">No.</p></article>', "One.\nTwo.\nThree."),
+        ("<article><p class=nav-x title='class=\"menu\"'>No.</p><p TITLE='id=menu'>Yes.</p><h2 class='section-header'>Yes</h2></article>", "Yes.\nYes"),
+        # what stands beside the best container
+        ("<body><h1>Short</h1>Bare <i>text</i>.<div id=content><p>Long prose, with commas, and more of it.</p></div><h3>Notes</h3><ul><li>one<li>two</ul><p>End.</p><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul><div><p>Last words.</p></div></body>", "Short\nBare text.\nLong prose, with commas, and more of it.\nNotes\none\ntwo\nEnd.\nLast words."),
+        ("<body><div id=content><p>Prose, prose, prose.</p></div>As <a href=/>he</a> has said many times.<p><a href=/>More</a></p></body>", "Prose, prose, prose.\nAs he has said many times."),
+        # inline elements that browsers show
+        ("<article><p>A <button>press</button>, <math><mi>x</mi></math>, <svg><text>y</text></svg>, <object>z</object>.</p></article>", "A press, x, y, z."),
+        ("<article><p>" + "<b>" * 3000 + "deep" + "</b>" * 3000 + ".</p>" + "<div>" * 3000 + "end</article>", "deep.\nend"),
+        ("<div class=post><p>One, two.</p></div><div class=post><p>One, two.</p></div>", "One, two.\nOne, two."),
+        ("<p>" + "word, " * 50_000 + "</p>", ("word, " * 50_000).strip()),
     ],
 )
 def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_main_text_of_made_up_pages(seed):
+    """Articles of known blocks, in wrappers, among all that is to go."""
+    rng = random.Random(seed)
+    words = lambda n: [rng.choice("lorem ipsum dolor sit amet magna aliqua erat sed diam été naïve x&y 1<2".split()) for _ in range(n)]
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace("é", rng.choice(["&eacute;", "&#233;", "é"]))
+
+    def prose(n):
+        return ", ".join(" ".join(words(rng.randint(3, 9))) for _ in range(n)) + "."
+
+    def marked(text):
+        """A few words of a block in inline elements, and odd white space."""
+        out = []
+        for w in text.split(" "):
+            tag = rng.choice(["b", "i", "em", "span", "code", "a href='/x'", *[""] * 12])
+            out.append(f"<{tag}>{escaped(w)}</{tag.split()[0]}>" if tag else escaped(w))
+        return "".join(x + rng.choice([" ", "\n ", "\t"]) for x in out)
+
+    links = lambda: "".join(f"<li><a href='/{w}'>{escaped(w)}</a>" for w in words(5))
+    noise = [
+        lambda: f"<nav><ul>{links()}</ul></nav>", lambda: f"<div class='site-header'>{escaped(prose(1))}</div>", lambda: f"<aside><p>{escaped(prose(2))}</p></aside>", lambda: f"<div id=sidebar><h3>More</h3><ul>{links()}</ul></div>",
+        lambda: f"<div class='ad'>{escaped(prose(1))}</div>", lambda: f"<div class='cookie notice'><p>{escaped(prose(1))}</p></div>", lambda: f"<form><p>{escaped(prose(1))}</p><input><select><option>a<option>b</select></form>", lambda: "<script>var p = '<p>no</p>';</script><style>p{}</style>",
+        lambda: f"<!-- <p>{escaped(prose(1))}</p> -->", lambda: f"<section class=comments><p>{escaped(prose(3))}</p></section>", lambda: f"<ul>{links()}</ul>", lambda: f"<div hidden><p>{escaped(prose(2))}</p></div>",
+    ]
+    expected, body = [], []
+    for k in range(rng.randint(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "blockquote", "table"]) if k else "h1"
+        if kind in ("ul", "table"):
+            parts = [prose(1) for _ in range(3)]
+            expected += parts
+            open_, close = ("<ul><li>", "</ul>") if kind == "ul" else ("<table><tr><td>", "</table>")
+            body.append(open_ + (open_[4:] if kind == "ul" else "<td>").join(marked(x) for x in parts) + close)
+        else:
+            text = " ".join(words(4)) if kind[0] == "h" else prose(rng.randint(3, 6))
+            expected.append(text)
+            body.append(f"<{kind}>{marked(text)}" + ("" if kind == "p" and rng.random() < 0.3 else f"</{kind}>"))
+        if rng.random() < 0.2 and k:
+            body.append(rng.choice(noise[:10])())
+    inner = "<article>" + "".join(body) + "</article>" if rng.random() < 0.5 else "<div class='post content'>" + "".join(body) + "</div>"
+    for _ in range(rng.randint(0, 3)):
+        inner = "<div>" + "".join(rng.choice(noise)() for _ in range(rng.randint(0, 2))) + inner + rng.choice(noise)() + "</div>"
+    page = f"<!DOCTYPE html><html><head><title>{escaped(prose(1))}</title></head><body>{''.join(f() for f in rng.sample(noise, 4))}{inner}<footer>{escaped(prose(1))}</footer></body></html>"
+    assert html.extract(page) == "\n".join(expected)
+
+
 def test_main_text_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é, a</p>", 3), (2, None, None, 4), (2, None, None, 4)], "page_id long, url string, html string, n_chars int")
     assert got(html.main_text(pages), "page_id", "url", "text", "n_chars") == [(1, "u", "é, a", 4), (2, None, "", 0), (2, None, "", 0)]
