@@ -37,9 +37,10 @@ def block_metadata(rows: DataFrame, run: list[str], key: str, ts: str) -> DataFr
 
 
 def find_block(metadata: DataFrame, run: list[str], keys: DataFrame, key: str) -> DataFrame:
-    """For each key and run the last block that begins at or before it: a running maximum over block starts and keys, no range join."""
+    """The last block of a run that begins at or before a key, for each ``(run.., key)`` asked: a running maximum over block starts and keys,
+    no range join. A look-up asks the runs that its key's pruning leaves."""
     starts = metadata.where("first_key is not null").select(*run, F.col("first_key").alias(key), F.lit(False).alias("__asked"), F.struct("first_key", "block").alias("__at"))
-    asked = keys.where(F.col(key).isNotNull()).select(key).distinct().crossJoin(metadata.select(*run).distinct())
+    asked = keys.where(F.col(key).isNotNull()).select(*run, key).distinct()
     both = starts.unionByName(asked.withColumns({"__asked": F.lit(True), "__at": F.lit(None).cast(starts.schema["__at"].dataType)}))
     w = Window.partitionBy(*run).orderBy(key, "__asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("__at", F.max("__at").over(w)).where("__asked and __at is not null").select(*run, key, F.col("__at.block").alias("block"))

@@ -35,10 +35,23 @@ def build(keys: DataFrame, key: str, bits: int, hashes: int, by: list[str] | Non
     return keys.select(*by, F.explode(positions(F.col(key), bits, hashes)).alias("bit")).distinct()
 
 
+MOST_HASHES = 30
+
+
 def probe(candidates: DataFrame, key: str, bloom: DataFrame, bits: int, hashes: int) -> DataFrame:
     """The candidate rows that the filter may contain: all their positions are set. The set has ``bits`` rows at most, so it joins, never collects."""
+    if hashes > MOST_HASHES:  # a filter that says nothing
+        return candidates
     asked = candidates.select(F.col(key), F.explode(F.array_distinct(positions(F.col(key), bits, hashes))).alias("bit")).distinct()
     needed = asked.groupBy(key).agg(F.count("*").alias("needed"))
     held = asked.join(bloom, "bit").groupBy(key).agg(F.count("*").alias("held"))
     maybe = needed.join(held, key).where("needed = held").select(key)
     return candidates.join(maybe, key, "left_semi")
+
+
+def runs_with(blooms: DataFrame, run: str, key: object, bits: int, hashes: int) -> DataFrame:
+    """The runs whose filters (``run, bit``, see build()) may contain one key."""
+    wanted = blooms.sparkSession.range(1).select(F.explode(F.array_distinct(positions(F.lit(key), bits, hashes))).alias("bit"))
+    needed = wanted.agg(F.count("*").alias("needed"))
+    held = blooms.join(F.broadcast(wanted), "bit", "left_semi").groupBy(run).agg(F.count("*").alias("held"))
+    return held.join(F.broadcast(needed)).where("needed = held").select(run)

@@ -12,26 +12,31 @@ from pyspark.sql.window import Window
 from palimpsest.operators.model import Versioned
 
 
+def _goes(spec: Versioned, bottom: bool, drop: Iterable[Column]) -> Column:
+    """Whether the newest version of a key up to the watermark is dropped too."""
+    out = F.col(spec.deleted) if bottom else F.lit(False)
+    return reduce(Column.__or__, drop, out)
+
+
+def _rank(spec: Versioned) -> Column:
+    return F.row_number().over(Window.partitionBy(*spec.keys).orderBy(F.col(spec.ts).desc()))
+
+
 def retain(changelog: DataFrame, spec: Versioned, mark: object, bottom: bool, drop: Iterable[Column] = ()) -> DataFrame:
     """The versions that compaction keeps.
 
-    Everything newer than the watermark ``mark``; of the others the newest of each key, unless it deletes and there is nothing below
-    (``bottom``), or one of the ``drop`` filters takes it. Versions of a key meet in one task, limited to what the window needs.
+    Everything newer than the watermark ``mark``, which needs no shuffle; of the others the newest of each key, unless it deletes and there is
+    nothing below (``bottom``), or one of the ``drop`` filters takes it. Spark limits that to one version of a key per task before the shuffle.
     """
-    old = F.col(spec.ts) <= F.lit(mark)
-    rank = F.row_number().over(Window.partitionBy(*spec.keys, old).orderBy(F.col(spec.ts).desc()))
-    last = F.col("__rn") == 1
-    if bottom:
-        last = last & ~F.col(spec.deleted)
-    if drops := list(drop):
-        last = last & ~reduce(Column.__or__, drops)
-    return changelog.withColumn("__rn", rank).where(~old | last).drop("__rn")
-
-
-def reclaimed(changelog: DataFrame, spec: Versioned, mark: object, bottom: bool) -> DataFrame:
-    """The versions that compaction drops."""
-    kept = retain(changelog, spec, mark, bottom).select(*spec.keys, spec.ts)
-    return changelog.join(kept, [*spec.keys, spec.ts], "left_anti")
+    new = changelog.where(F.col(spec.ts) > F.lit(mark))
+    old = changelog.where(F.col(spec.ts) <= F.lit(mark)).withColumn("__rn", _rank(spec)).where("__rn = 1").drop("__rn")
+    return new.unionByName(old.where(~_goes(spec, bottom, drop)))
+
+
+def reclaimed(changelog: DataFrame, spec: Versioned, mark: object, bottom: bool, drop: Iterable[Column] = ()) -> DataFrame:
+    """The versions that compaction drops, from one window over those up to the watermark."""
+    old = changelog.where(F.col(spec.ts) <= F.lit(mark)).withColumn("__rn", _rank(spec))
+    return old.where((F.col("__rn") > 1) | _goes(spec, bottom, drop)).drop("__rn")
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:

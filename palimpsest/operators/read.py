@@ -80,6 +80,11 @@ def scan(changelog: DataFrame, spec: Versioned, lower: Bound = UNBOUNDED, upper:
     return visible_at(changelog.where(within(F.col(spec.keys[0]), lower, upper)), spec, at)
 
 
+def seek(changelog: DataFrame, spec: Versioned, key: object, at: object = None, n: int = 1) -> DataFrame:
+    """The first ``n`` visible rows at or after a key, in key order; versions below the key are never read."""
+    return visible_at(changelog.where(F.col(spec.keys[0]) >= F.lit(key)), spec, at).orderBy(spec.keys[0]).limit(n)
+
+
 def prefix_scan(changelog: DataFrame, spec: Versioned, prefix: str | bytes, at: object = None) -> DataFrame:
     return visible_at(changelog.where(with_prefix(F.col(spec.keys[0]), prefix)), spec, at)
 

@@ -6,6 +6,7 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.keys import UNBOUNDED, Bound, with_prefix, within
 from palimpsest.operators.model import Versioned
@@ -84,8 +85,9 @@ class Transaction:
 
     def __init__(self, store, read_ts: int, serializable: bool):
         self.id, self.store, self.read_ts, self.serializable = next(self._numbers), store, read_ts, serializable
-        self._writes: dict[object, tuple[object, bool]] = {}
-        self._reads: list[DataFrame] = []
+        self.writes: dict[object, tuple[object, bool]] = {}
+        self.keys: set = set()  # looked up one by one
+        self.scans: list[DataFrame] = []  # keys that scans returned
         self._closed = False
 
     def _open(self) -> None:
@@ -94,48 +96,61 @@ class Transaction:
 
     def put(self, key: object, value: object) -> None:
         self._open()
-        self._writes[key] = (value, False)
+        self.writes[key] = (value, False)
 
     def delete(self, key: object) -> None:
         self._open()
-        self._writes[key] = (None, True)
+        self.writes[key] = (None, True)
 
     def local(self) -> DataFrame:
         """The overlay as rows."""
-        return self.store.spark.createDataFrame([(k, v, self.read_ts, gone) for k, (v, gone) in self._writes.items()], self.store.schema)
+        return self.store.spark.createDataFrame([(k, v, self.read_ts, gone) for k, (v, gone) in self.writes.items()], self.store.schema)
 
     def get(self, key: object) -> object | None:
+        """The overlay's value, else the snapshot's; either way the key has been read."""
         self._open()
-        if key in self._writes:
-            value, gone = self._writes[key]
-            return None if gone else value
-        rows = self.store.get_rows(key, self.read_ts).take(1)
         if self.serializable:
-            self._reads.append(self.store.spark.createDataFrame([(key,)], [self.store.spec.keys[0]]))
-        return rows[0][1] if rows else None
+            self.keys.add(key)
+        if key in self.writes:
+            value, gone = self.writes[key]
+            return None if gone else value
+        return self.store.get(key, self.read_ts)
 
     def scan(self, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED) -> DataFrame:
         self._open()
-        return self._noted(within(F.col(self.store.spec.keys[0]), lower, upper))
+        return self._noted(self.store.rows(lower, upper), within(F.col(self.store.spec.keys[0]), lower, upper))
 
     def prefix(self, prefix: str) -> DataFrame:
         self._open()
-        return self._noted(with_prefix(F.col(self.store.spec.keys[0]), prefix))
+        return self._noted(self.store.rows(), with_prefix(F.col(self.store.spec.keys[0]), prefix))
 
-    def _noted(self, wanted) -> DataFrame:
+    def _noted(self, rows: DataFrame, wanted) -> DataFrame:
         spec = self.store.spec
-        base = visible_at(self.store.rows().where(wanted), spec, self.read_ts)
-        out = overlay(self.local().where(wanted), base, spec)
+        out = overlay(self.local().where(wanted), visible_at(rows.where(wanted), spec, self.read_ts), spec)
         if self.serializable:
-            self._reads.append(out.select(*spec.keys))
+            self.scans.append(out.select(*spec.keys))
         return out
 
-    def read_set(self) -> DataFrame | None:
+    def read_set(self) -> DataFrame:
         """Exact keys read, never hashes; ranges read are not in it, so rows that appear later are allowed."""
-        out = None
-        for part in self._reads:
-            out = part if out is None else out.unionByName(part)
-        return None if out is None else out.distinct()
+        key = self.store.spec.keys[0]
+        out = self.store.spark.createDataFrame([(k,) for k in self.keys], T.StructType([self.store.schema[key]]))
+        for part in self.scans:
+            out = out.unionByName(part)
+        return out.distinct()
+
+    def read_any(self, commits: list) -> bool:
+        """Whether it read a key of these commits, each a set of keys or a run. Without scans and runs that needs no job."""
+        written = set().union(*[c for c in commits if isinstance(c, set)])
+        if written & self.keys:
+            return True
+        key, runs = self.store.spec.keys[0], [self.store.keys_of(c) for c in commits if not isinstance(c, set)]
+        if written and self.scans and any(df.where(F.col(key).isin(list(written))).take(1) for df in self.scans):
+            return True
+        if not runs or not (self.keys or self.scans):
+            return False
+        seen = self.read_set()
+        return any(df.join(seen, key, "left_semi").take(1) for df in runs)
 
     def commit(self) -> int | None:
         """The version written, or None if there was nothing to write. Raises TransactionConflict."""

@@ -30,13 +30,13 @@ def deletes(keys: DataFrame, spec: Versioned, like: DataFrame) -> DataFrame:
     return keys.select(*[F.col(c) if c in spec.keys else F.lit(True).alias(c) if c == spec.deleted else F.lit(None).cast(t).alias(c) for c, t in fields.items()])
 
 
-def roll(rows: DataFrame, spec: Versioned, size: Column, target_bytes: int, ranges: str | None = None) -> DataFrame:
+def roll(rows: DataFrame, spec: Versioned, size: Column, target_bytes: int, ranges: str) -> DataFrame:
     """``key.., run``: which output run each key goes to. A run ends once it has ``target_bytes``; versions of a key stay together.
 
     Sizes are added up per key first. The running sum goes within coarse key ranges (column ``ranges``), each of which starts a run of its own,
-    so no task sees all keys; without ranges there is one.
+    so no task sees all keys.
     """
-    per_key = rows.groupBy(*([ranges] if ranges else []), *spec.keys).agg(F.sum(size).alias("__size"))
-    w = Window.partitionBy(ranges) if ranges else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("__size").over(w.orderBy(*spec.keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per_key.select(*([ranges] if ranges else []), *spec.keys, F.floor(before / target_bytes).cast("bigint").alias("run"))
+    per_key = rows.groupBy(ranges, *spec.keys).agg(F.sum(size).alias("__size"))
+    w = Window.partitionBy(ranges).orderBy(*spec.keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__size").over(w), F.lit(0))
+    return per_key.select(ranges, *spec.keys, F.floor(before / target_bytes).cast("bigint").alias("run"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.bloom import MOST_HASHES, runs_with
 from palimpsest.functions.keys import UNBOUNDED, Bound, overlaps, prefix_overlaps
 
 
@@ -18,8 +19,10 @@ def prune_range(stats: DataFrame, lower: Bound = UNBOUNDED, upper: Bound = UNBOU
     return stats.where(overlaps(F.col("first_key"), F.col("last_key"), lower, upper))
 
 
-def prune_key(stats: DataFrame, key: object) -> DataFrame:
-    return stats.where((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key)))
+def prune_key(stats: DataFrame, key: object, blooms: DataFrame | None = None, bits: int = 0, hashes: int = 0) -> DataFrame:
+    """Runs whose key range holds the key, and whose Bloom filters (``run_id, bit``), if given, may contain it."""
+    out = stats.where((F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key)))
+    return out if blooms is None or hashes > MOST_HASHES else out.join(runs_with(blooms, "run_id", key, bits, hashes), "run_id", "left_semi")
 
 
 def prune_prefix(stats: DataFrame, prefix: str) -> DataFrame:

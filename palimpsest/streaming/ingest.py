@@ -12,12 +12,11 @@ from palimpsest.operators.model import Versioned
 def ingest(stream: DataFrame, store, checkpoint: str, order: str, compact_every: int = 8) -> StreamingQuery:
     """Write each micro-batch (``key, value, deleted`` and ``order``) as one version; compaction runs between batches.
 
-    A batch that was written before a crash is written again as a later version with the same rows, which no snapshot can tell apart.
+    The manifest keeps the number of the newest batch of each checkpoint, so a batch that is replayed after a crash is not written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if batch.take(1):
-            store.write_batch(batch, order)
+        store.write_batch(batch, order, (checkpoint, number))
         if number % compact_every == compact_every - 1:
             store.compact()
 
