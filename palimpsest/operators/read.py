@@ -27,9 +27,9 @@ def concat_runs(runs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs)
 
 
-def disjoint(stats: DataFrame, first: str = "first_key", last: str = "last_key") -> DataFrame:
-    """The runs that begin before an earlier one ends; empty if concat_runs() may be used. One row per run, so one window is enough."""
-    w = Window.orderBy(first, last)
+def disjoint(stats: DataFrame, run: str = "run_id", first: str = "first_key", last: str = "last_key") -> DataFrame:
+    """The runs that begin before the one before them ends; empty if concat_runs() may be used. One row per run, so one window is enough."""
+    w = Window.orderBy(first, last, run)
     return stats.withColumn("previous_last", F.lag(last).over(w)).where(F.col(first) <= F.col("previous_last"))
 
 

@@ -2,6 +2,7 @@
 
 Changelogs over the tables: ``events`` (key user_id, version event_id, an error deletes), ``orders`` (key o_custkey, version by date and number,
 status F deletes), ``pages`` (key url) and ``conversations`` (key conv_id, version turn). Runs of events are blocks of a thousand versions.
+Versions at which snapshots are taken are shares of the newest one, so the queries do as much work on larger tables.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from palimpsest.functions import blocks, bloom, keys
 from palimpsest.functions.keys import excluded, included
 from palimpsest.operators import compact, read, txn, write
 from palimpsest.operators.model import Versioned
-from palimpsest.plans import quorum
+from palimpsest.plans import pickers, quorum
 from palimpsest.sources import stats
+from palimpsest.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +69,15 @@ def run_list(spark: SparkSession, d: str) -> DataFrame:
     return s.join(F.broadcast(newest)).withColumn("level", F.when(age < 3, 0).when(age < 6, 1).otherwise(2)).drop("top")
 
 
+def _at(spark: SparkSession, d: str, share: int) -> int:
+    """The version at so many hundredths of the newest one."""
+    return _table(spark, d, "events").agg(F.max("event_id")).first()[0] * share // 100
+
+
+def _sql_at(share: int) -> str:
+    return f"((SELECT max(event_id) FROM events) * {share} // 100)"
+
+
 _EV = "ev AS (SELECT user_id, event_id, event_type, value, event_type = 'error' AS deleted FROM events)"
 _ORD = "od AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, o_orderpriority, o_orderstatus = 'F' AS deleted FROM orders)"
 _STATS = "st AS (SELECT event_id // 1000 AS run_id, min(user_id) AS first_key, max(user_id) AS last_key, max(event_id) AS max_ts, count(*) AS n_rows, CAST(sum(CAST(event_type = 'error' AS INT)) AS BIGINT) AS n_deleted FROM events GROUP BY 1)"
@@ -84,14 +95,46 @@ def _shown(df: DataFrame) -> DataFrame:
 # ---- reads
 
 
-@_query(f"WITH {_EV} {_snap('5000')}")
+@_query(f"WITH {_EV} {_snap(_sql_at(50))}")
 def snapshot_read(spark, d):
-    return _shown(read.visible_at(events(spark, d), EVENTS, 5000))
+    return _shown(read.visible_at(events(spark, d), EVENTS, _at(spark, d, 50)))
 
 
-@_query(f"WITH {_EV} {_snap('5000', 'user_id = 7')}")
+@_query(f"WITH {_EV} {_snap(_sql_at(50), 'user_id = 7')}")
 def point_get(spark, d):
-    return _shown(read.get(events(spark, d), EVENTS, 7, 5000))
+    return _shown(read.get(events(spark, d), EVENTS, 7, _at(spark, d, 50)))
+
+
+@_query(f"WITH {_EV}, s AS ({_snap(_sql_at(50))}) SELECT * FROM s WHERE user_id = (SELECT min(user_id) FROM s)")
+def point_get_live(spark, d):
+    """The least key that is visible half-way, found by a seek, then looked up."""
+    e, at = events(spark, d), _at(spark, d, 50)
+    key = read.seek(e, EVENTS, -1, at).first()["user_id"]
+    return _shown(read.get(e, EVENTS, key, at))
+
+
+@_query(f"WITH {_EV}, s AS ({_snap(_sql_at(100))}) SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, event_type, value FROM s WHERE user_id = 12")
+def string_get(spark, d):
+    """Keys as text."""
+    return _shown(read.get(events(spark, d).withColumn("user_id", F.col("user_id").cast("string")), EVENTS, "12"))
+
+
+@_query(f"WITH {_EV}, s AS ({_snap(_sql_at(100))}) SELECT * FROM s WHERE user_id >= 7 ORDER BY user_id LIMIT 1")
+def seek_key(spark, d):
+    return _shown(read.seek(events(spark, d), EVENTS, 7))
+
+
+@_query(f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM ev")
+def full_dump(spark, d):
+    return read.history(events(spark, d), EVENTS).select("user_id", "event_id", "event_type", "deleted")
+
+
+@_query("SELECT url, page_id FROM pages WHERE url >= 'https://m' AND url < 'https://n'")
+def prefix_range(spark, d):
+    """A prefix as a range up to its successor."""
+    prefix = "https://m"
+    end = keys.prefix_successor(prefix.encode()).decode()
+    return read.scan(pages(spark, d), PAGES, keys.Bound.parse("Included", prefix), keys.Bound.parse("EXCLUDED", end)).select("url", "page_id")
 
 
 @_query(f"WITH {_EV} {_snap('9223372036854775807', 'user_id = 12')}")
@@ -130,9 +173,10 @@ def prefix_scan(spark, d):
     return read.prefix_scan(pages(spark, d), PAGES, "http://th").select("url", "page_id")
 
 
-@_query("SELECT url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM pages WHERE starts_with(url, 'https://') AND page_id <= 100) WHERE rn = 1")
+@_query("SELECT url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM pages WHERE starts_with(url, 'https://') AND page_id <= (SELECT max(page_id) // 2 FROM pages)) WHERE rn = 1")
 def prefix_scan_as_of(spark, d):
-    return read.prefix_scan(pages(spark, d), PAGES, "https://", 100).select("url", "page_id")
+    p = pages(spark, d)
+    return read.prefix_scan(p, PAGES, "https://", p.agg(F.max("page_id")).first()[0] // 2).select("url", "page_id")
 
 
 @_query(f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM ev WHERE user_id = 3")
@@ -143,17 +187,17 @@ def version_history(spark, d):
 @_query(f"WITH {_EV} SELECT user_id, event_id, event_type FROM ev WHERE user_id = (SELECT min(user_id) FROM ev WHERE event_id = 42) AND event_id = 42")
 def exact_version(spark, d):
     e = events(spark, d)
-    key = e.where("event_id = 42").agg(F.min("user_id").alias("user_id"))
-    return e.where("event_id = 42").join(F.broadcast(key), "user_id").select("user_id", "event_id", "event_type")
+    key = e.where("event_id = 42").agg(F.min("user_id")).first()[0]
+    return read.version(e, EVENTS, key, 42).select("user_id", "event_id", "event_type")
 
 
 @_query(
-    f"WITH {_EV}, o AS ({_snap('4000')}), n AS ({_snap('8000')}) "
+    f"WITH {_EV}, o AS ({_snap(_sql_at(40))}), n AS ({_snap(_sql_at(80))}) "
     "SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change, o.event_id AS old_ts, n.event_id AS new_ts "
     "FROM o FULL JOIN n ON o.user_id = n.user_id WHERE o.event_id IS DISTINCT FROM n.event_id"
 )
 def snapshot_diff(spark, d):
-    return read.diff(events(spark, d), EVENTS, 4000, 8000)
+    return read.diff(events(spark, d), EVENTS, _at(spark, d, 40), _at(spark, d, 80))
 
 
 @_query(
@@ -167,73 +211,61 @@ def render_scan(spark, d):
 
 
 @_query(
-    f"WITH {_EV}, three AS (SELECT *, 2 AS p, 'old' AS origin FROM ev WHERE event_id < 6000 UNION ALL SELECT *, 1, 'middle' FROM ev WHERE event_id BETWEEN 3000 AND 8000 UNION ALL SELECT *, 0, 'new' FROM ev WHERE event_id BETWEEN 5000 AND 9000) "
+    f"WITH {_EV}, three AS (SELECT *, 2 AS p, 'old' AS origin FROM ev WHERE event_id < {_sql_at(60)} UNION ALL SELECT *, 1, 'middle' FROM ev WHERE event_id BETWEEN {_sql_at(30)} AND {_sql_at(80)} UNION ALL SELECT *, 0, 'new' FROM ev WHERE event_id >= {_sql_at(50)}) "
     "SELECT user_id, event_id, origin FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id ORDER BY p) AS rn FROM three) WHERE rn = 1"
 )
 def kway_merge(spark, d):
     e = events(spark, d)
-    three = [e.where("event_id BETWEEN 5000 AND 9000").withColumn("origin", F.lit("new")), e.where("event_id BETWEEN 3000 AND 8000").withColumn("origin", F.lit("middle")), e.where("event_id < 6000").withColumn("origin", F.lit("old"))]
+    ts, at = F.col("event_id"), lambda share: F.lit(_at(spark, d, share))
+    three = [e.where(ts >= at(50)).withColumn("origin", F.lit("new")), e.where(ts.between(at(30), at(80))).withColumn("origin", F.lit("middle")), e.where(ts < at(60)).withColumn("origin", F.lit("old"))]
     return read.merge_runs(three, EVENTS).select("user_id", "event_id", "origin")
 
 
 @_query(
-    f"WITH {_EV}, a AS ({_snap('9999999', 'event_id > 7000', '*')}), b AS ({_snap('7000', 'true', '*')}) "
+    f"WITH {_EV}, a AS ({_snap(_sql_at(100), f'event_id > {_sql_at(70)}', '*')}), b AS ({_snap(_sql_at(70), 'true', '*')}) "
     "SELECT user_id, event_id, event_type, value FROM a UNION ALL SELECT user_id, event_id, event_type, value FROM b WHERE user_id NOT IN (SELECT user_id FROM a)"
 )
 def two_way_merge(spark, d):
-    e = events(spark, d)
-    return _shown(read.overlay(read.visible_at(e.where("event_id > 7000"), EVENTS, 9_999_999), read.visible_at(e, EVENTS, 7000), EVENTS))
+    e, at = events(spark, d), _at(spark, d, 70)
+    return _shown(read.overlay(read.visible_at(e.where(F.col("event_id") > at), EVENTS), read.visible_at(e, EVENTS, at), EVENTS))
 
 
-@_query("SELECT user_id, event_id FROM events WHERE user_id < 20 OR user_id >= 100")
+@_query("SELECT user_id, event_id FROM events")
 def concat_runs(spark, d):
+    """Runs by key range, put together without a merge."""
     e = events(spark, d)
-    return read.concat_runs([e.where("user_id < 20"), e.where("user_id >= 100")]).select("user_id", "event_id")
+    return read.concat_runs([e.where("user_id < 20"), e.where("user_id >= 20 and user_id < 100"), e.where("user_id >= 100")]).select("user_id", "event_id")
 
 
 @_query(f"WITH {_STATS} SELECT run_id, first_key, last_key, previous_last FROM (SELECT *, lag(last_key) OVER (ORDER BY first_key, last_key, run_id) AS previous_last FROM st) WHERE first_key <= previous_last")
 def concat_disjoint_check(spark, d):
     s = stats.run_stats(runs(spark, d), "run", "user_id", "event_id")
-    w = Window.orderBy("first_key", "last_key", "run_id")
-    return s.withColumn("previous_last", F.lag("last_key").over(w)).where("first_key <= previous_last").select("run_id", "first_key", "last_key", "previous_last")
+    return read.disjoint(s, "run_id").select("run_id", "first_key", "last_key", "previous_last")
 
 
 # ---- transactions
 
-_LOCAL = "SELECT user_id, event_id, event_type, value, deleted, 0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev WHERE event_id > 9900) WHERE rn = 1"
+_LOCAL = "SELECT user_id, event_id, event_type, value, deleted, 0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ev WHERE event_id > " + _sql_at(99) + ") WHERE rn = 1"
 
 
 @_query(
-    f"WITH {_EV}, both_ AS ({_LOCAL} UNION ALL SELECT user_id, event_id, event_type, value, false, 1 FROM ({_snap('5000')})) "
+    f"WITH {_EV}, both_ AS ({_LOCAL} UNION ALL SELECT user_id, event_id, event_type, value, false, 1 FROM ({_snap(_sql_at(50))})) "
     "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS rn FROM both_) WHERE rn = 1 AND NOT deleted"
 )
 def txn_overlay_scan(spark, d):
     e = events(spark, d)
-    local = read.newest(e.where("event_id > 9900"), EVENTS)
-    return _shown(read.overlay(local, read.visible_at(e, EVENTS, 5000), EVENTS))
+    local = read.newest(e.where(F.col("event_id") > _at(spark, d, 99)), EVENTS)
+    return _shown(read.overlay(local, read.visible_at(e, EVENTS, _at(spark, d, 50)), EVENTS))
 
 
 @_query(
-    "WITH r AS (SELECT DISTINCT event_id % 10 AS txn_id, user_id, 1000 * (event_id % 10) AS read_ts FROM events WHERE event_id < 300), c AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_type = 'purchase' GROUP BY 1) "
+    f"WITH r AS (SELECT DISTINCT event_id % 10 AS txn_id, user_id, {_sql_at(10)} * (event_id % 10) AS read_ts FROM events), c AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_type = 'purchase' GROUP BY 1) "
     "SELECT txn_id, r.user_id, read_ts FROM r JOIN c ON r.user_id = c.user_id WHERE newest > read_ts"
 )
 def txn_conflicts(spark, d):
-    e = _table(spark, d, "events")
-    return _conflicts(e.where("event_id < 300"), e)
-
-
-@_query(
-    "WITH r AS (SELECT DISTINCT event_id % 10 AS txn_id, user_id, 1000 * (event_id % 10) AS read_ts FROM events), c AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_type = 'purchase' GROUP BY 1) "
-    "SELECT txn_id, r.user_id, read_ts FROM r JOIN c ON r.user_id = c.user_id WHERE newest > read_ts"
-)
-def txn_conflicts_all(spark, d):
     """Every event is read by a transaction."""
-    e = _table(spark, d, "events")
-    return _conflicts(e, e)
-
-
-def _conflicts(read_by, e):
-    reads = read_by.select((F.col("event_id") % 10).alias("txn_id"), "user_id", (F.col("event_id") % 10 * 1000).alias("read_ts")).distinct()
+    e, step = _table(spark, d, "events"), _at(spark, d, 10)
+    reads = e.select((F.col("event_id") % 10).alias("txn_id"), "user_id", (F.col("event_id") % 10 * step).alias("read_ts")).distinct()
     commits = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts"))
     return txn.conflicts(reads, commits, ["user_id"]).select("txn_id", "user_id", "read_ts")
 
@@ -257,9 +289,9 @@ def retained_snapshots(spark, d):
     return txn.retained_snapshots(_ledger(spark, d))
 
 
-@_query("SELECT user_id, event_id AS commit_ts FROM events WHERE event_type = 'purchase' AND event_id >= 2500")
+@_query("SELECT user_id, event_id AS commit_ts FROM events WHERE event_type = 'purchase' AND event_id >= " + _sql_at(25))
 def commit_pruning(spark, d):
-    return txn.prune_commits(_table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts")), 2500)
+    return txn.prune_commits(_table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("commit_ts")), _at(spark, d, 25))
 
 
 # ---- writes
@@ -271,11 +303,11 @@ def batch_dedupe(spark, d):
     return write.dedupe_batch(rows, EVENTS, "event_id", ["batch"]).withColumn("ts", F.col("batch") + 1)
 
 
-@_query("SELECT DISTINCT user_id, CAST(10001 AS BIGINT) AS event_id, true AS deleted FROM events WHERE user_id < 9")
+@_query("SELECT DISTINCT user_id, (SELECT max(event_id) FROM events) + 1 AS event_id, true AS deleted FROM events")
 def delete_batch(spark, d):
     e = _table(spark, d, "events").select("user_id", "event_id", F.lit(False).alias("deleted"))
-    gone = write.deletes(e.where("user_id < 9").select("user_id").distinct(), EVENTS, e)
-    return write.stamp(gone, EVENTS, 10_000).select("user_id", "event_id", "deleted")
+    gone = write.deletes(e.select("user_id").distinct(), EVENTS, e)
+    return write.stamp(gone, EVENTS, _at(spark, d, 100)).select("user_id", "event_id", "deleted")
 
 
 _SIZE = "strlen(CAST(user_id AS VARCHAR)) + 8 + strlen(event_type)"
@@ -292,7 +324,7 @@ def split_runs(spark, d):
 
 def _retained(bottom: bool, drop: str = "false") -> str:
     last = f"rn = 1 AND NOT ({'deleted' if bottom else 'false'}) AND NOT ({drop})"
-    return f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id <= 5000 ORDER BY event_id DESC) AS rn FROM ev) WHERE event_id > 5000 OR ({last})"
+    return f"WITH {_EV} SELECT user_id, event_id, event_type, deleted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id <= {_sql_at(50)} ORDER BY event_id DESC) AS rn FROM ev) WHERE event_id > {_sql_at(50)} OR ({last})"
 
 
 def _kept(df):
@@ -301,51 +333,70 @@ def _kept(df):
 
 @_query(_retained(True))
 def compact_bottom(spark, d):
-    return _kept(compact.retain(events(spark, d), EVENTS, 5000, True))
+    return _kept(compact.retain(events(spark, d), EVENTS, _at(spark, d, 50), True))
 
 
 @_query(_retained(False))
 def compact_nonbottom(spark, d):
-    return _kept(compact.retain(events(spark, d), EVENTS, 5000, False))
+    return _kept(compact.retain(events(spark, d), EVENTS, _at(spark, d, 50), False))
 
 
 @_query(_retained(True, "starts_with(CAST(user_id AS VARCHAR), '1')"))
 def compact_filtered(spark, d):
-    return _kept(compact.retain(events(spark, d), EVENTS, 5000, True, [F.col("user_id").cast("string").startswith("1")]))
+    return _kept(compact.retain(events(spark, d), EVENTS, _at(spark, d, 50), True, [F.col("user_id").cast("string").startswith("1")]))
 
 
 @_query(f"WITH k AS ({_retained(True)}) SELECT user_id, event_id FROM events WHERE (user_id, event_id) NOT IN (SELECT (user_id, event_id) FROM k)")
 def gc_reclaimed(spark, d):
-    return compact.reclaimed(events(spark, d), EVENTS, 5000, True).select("user_id", "event_id")
+    return compact.reclaimed(events(spark, d), EVENTS, _at(spark, d, 50), True).select("user_id", "event_id")
 
 
-@_query(f"WITH {_LEVELS}, c AS (SELECT level, count(*) AS n FROM lv GROUP BY 1), l AS (SELECT level, n, coalesce(lead(n) OVER (ORDER BY level), 0) AS below FROM c) SELECT min(level) AS level FROM l WHERE (level > 0 OR n >= 3) AND below < 2 * n AND level < 2")
+@_query(
+    f"WITH {_LEVELS}, c AS (SELECT k AS level, (SELECT count(*) FROM lv WHERE level = k) AS n FROM range(0, 4) t(k)), l AS (SELECT level, n, lead(n) OVER (ORDER BY level) AS below FROM c), "
+    "p AS (SELECT min(level) AS up FROM l WHERE level < 3 AND n > 0 AND (level > 0 OR n >= 3) AND 100 * below < 200 * n) SELECT run_id, CAST(up + 1 AS INT) AS to_level FROM lv, p WHERE level IN (up, up + 1)"
+)
 def pick_simple(spark, d):
-    c = run_list(spark, d).groupBy("level").agg(F.count("*").alias("n"))
-    below = F.coalesce(F.lead("n").over(Window.orderBy("level")), F.lit(0))  # one row per level
-    return c.withColumn("below", below).where("(level > 0 OR n >= 3) AND below < 2 * n AND level < 2").agg(F.min("level").alias("level"))
+    return pickers.picked("simple", run_list(spark, d), {"ratio_percent": 200, "trigger": 3, "levels": 3})
 
 
-_TIERS = f"WITH {_LEVELS}, c AS (SELECT level AS tier, count(*) AS n FROM lv GROUP BY 1), t AS (SELECT *, sum(n) OVER (ORDER BY tier) AS upto, lead(n) OVER (ORDER BY tier) AS next FROM c)"
+@_query(
+    f"WITH {_LEVELS}, c AS (SELECT (SELECT count(*) FROM lv WHERE level = 0) AS a, (SELECT count(*) FROM lv WHERE level = 1) AS b, (SELECT count(*) FROM lv WHERE level = 2) AS c), "
+    "n AS (SELECT CASE WHEN a = 0 OR b = 0 OR c = 0 THEN 0 WHEN 100 * (a + b) >= 200 * c THEN 3 WHEN 100 * a >= 150 * b THEN 2 WHEN 100 * (a + b) >= 150 * c THEN 3 ELSE 0 END AS n FROM c) SELECT run_id, CAST(n - 1 AS INT) AS to_level FROM lv, n WHERE level < n"
+)
+def pick_tiered(spark, d):
+    """Levels as tiers: by amplification, or by the first prefix that outgrows its successor."""
+    return pickers.picked("tiered", run_list(spark, d), {"tiers": 3, "amplification_percent": 200, "ratio_percent": 50, "width": 2})
 
 
-@_query(f"{_TIERS} SELECT tier, n, CAST(upto AS BIGINT) AS upto, next, coalesce(100 * upto >= 150 * next, false) AS outgrows FROM t")
-def pick_tiered(spark, d):
-    c = run_list(spark, d).groupBy(F.col("level").alias("tier")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("tier")  # one row per tier
-    t = c.select("tier", "n", F.sum("n").over(w).alias("upto"), F.lead("n").over(w).alias("next"))
-    return t.withColumn("outgrows", F.coalesce(100 * F.col("upto") >= 150 * F.col("next"), F.lit(False)))
+_TARGETS = f"WITH {_LEVELS}, s AS (SELECT k AS level, coalesce((SELECT sum(n_rows) FROM lv WHERE level = k), 0) AS size FROM range(1, 3) t(k)), b AS (SELECT greatest((SELECT size FROM s WHERE level = 2), 1000) AS t2), t AS (SELECT t2, CASE WHEN t2 > 1000 THEN t2 // 4 ELSE 0 END AS t1 FROM b)"
+
+
+@_query(f"{_TARGETS} SELECT CAST(level AS INT) AS level, CAST(size AS BIGINT) AS size, CAST(CASE WHEN level = 2 THEN t2 ELSE t1 END AS BIGINT) AS target FROM s, t")
+def leveled_targets(spark, d):
+    runs_ = pickers.run_list(run_list(spark, d))
+    sizes = [sum(r.n_rows for r in runs_ if r.level == n) for n in (1, 2)]
+    targets, _ = pickers.leveled_targets(sizes, 1000, 4)
+    return spark.createDataFrame([(n, size, target) for n, (size, target) in enumerate(zip(sizes, targets, strict=True), 1)], "level int, size long, target long")
 
 
 @_query(
-    f"WITH {_LEVELS}, s AS (SELECT level, CAST(sum(n_rows) AS BIGINT) AS size FROM lv WHERE level > 0 GROUP BY 1), b AS (SELECT greatest((SELECT max(size) FROM s WHERE level = 2), 1000) AS t2) "
-    "SELECT level, size, CASE WHEN level = 2 THEN t2 WHEN t2 > 1000 THEN t2 // 4 ELSE 0 END AS target FROM s, b"
+    f"{_TARGETS}, z AS (SELECT min(first_key) AS low, max(last_key) AS high, count(*) AS n FROM lv WHERE level = 0), g AS (SELECT CASE WHEN t1 > 0 THEN 1 ELSE 2 END AS base FROM t) "
+    "SELECT run_id, CAST(base AS INT) AS to_level FROM lv, z, g WHERE n >= 3 AND (level = 0 OR level = base AND first_key <= high AND last_key >= low)"
 )
 def pick_leveled(spark, d):
-    s = run_list(spark, d).where("level > 0").groupBy("level").agg(F.sum("n_rows").alias("size"))
-    b = s.agg(F.greatest(F.max(F.when(F.col("level") == 2, F.col("size"))), F.lit(1000)).alias("t2"))
-    target = F.expr("CASE WHEN level = 2 THEN t2 WHEN t2 > 1000 THEN t2 div 4 ELSE 0 END")
-    return s.join(F.broadcast(b)).select("level", "size", target.cast("bigint").alias("target"))
+    """The newest runs with those of the base level that they meet."""
+    return pickers.picked("leveled", run_list(spark, d), {"trigger": 3, "levels": 2, "base_rows": 1000, "multiplier": 4})
+
+
+@_query(f"{_TARGETS}, o AS (SELECT min(run_id) AS r FROM lv, s, t WHERE lv.level = 1 AND s.level = 1 AND t1 > 0 AND size > t1) SELECT x.run_id, 2 AS to_level FROM lv x, lv y, o WHERE y.run_id = r AND (x.run_id = r OR x.level = 2 AND x.first_key <= y.last_key AND x.last_key >= y.first_key)")
+def pick_leveled_oldest(spark, d):
+    """Without enough new runs: the oldest one of the level that exceeds its target most."""
+    return pickers.picked("leveled", run_list(spark, d), {"trigger": 1000, "levels": 2, "base_rows": 1000, "multiplier": 4})
+
+
+@_query(f"WITH {_LEVELS} SELECT run_id, 1 AS to_level FROM lv")
+def pick_full(spark, d):
+    return pickers.picked("full", run_list(spark, d))
 
 
 @_query(f"WITH {_LEVELS} SELECT a.run_id AS a_run, b.run_id AS b_run FROM lv a JOIN lv b ON a.first_key <= b.last_key AND a.last_key >= b.first_key WHERE a.level = 0 AND b.level = 1")
@@ -372,6 +423,14 @@ def state_dump(spark, d):
     return stats.state_dump(run_list(spark, d))
 
 
+def _position(key: str) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) + i * CAST('0x' || substr(md5({key}), 9, 8) AS BIGINT)) % 4096"
+
+
+def _half(p: DataFrame) -> int:
+    return p.agg(F.max("page_id")).first()[0] // 2
+
+
 _URL_RUNS = "ur AS (SELECT page_id // 50 AS run_id, min(url) AS first_key, max(url) AS last_key, max(page_id) AS max_ts, count(*) AS n_rows FROM pages GROUP BY 1)"
 
 
@@ -389,6 +448,24 @@ def prune_key(spark, d):
     return stats.prune_key(_url_runs(spark, d), "http://the.example.com/")
 
 
+@_query(
+    f"WITH {_URL_RUNS}, k AS (SELECT unnest(range(0, 6)) AS i), w AS (SELECT min(url) AS url FROM pages WHERE page_id = (SELECT max(page_id) // 2 FROM pages)), a AS (SELECT DISTINCT {_position('w.url')} AS bit FROM w, k), "
+    f"b AS (SELECT DISTINCT page_id // 50 AS run_id, {_position('url')} AS bit FROM pages, k) SELECT ur.* FROM ur, w WHERE first_key <= url AND last_key >= url AND run_id IN (SELECT run_id FROM b JOIN a ON a.bit = b.bit GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM a))"
+)
+def prune_key_bloom(spark, d):
+    """The runs that may hold one page's key, by key range and Bloom filter."""
+    p = pages(spark, d)
+    key = p.where(F.col("page_id") == _half(p)).agg(F.min("url")).first()[0]
+    filters = bloom.build(p.withColumn("run_id", F.floor(F.col("page_id") / 50).cast("bigint")), "url", 4096, 6, ["run_id"])
+    return stats.prune_key(_url_runs(spark, d), key, filters, 4096, 6)
+
+
+@_query(f"WITH {_URL_RUNS} SELECT count(*) AS n_sources FROM ur WHERE last_key >= 'https://t' AND first_key < 'https://u'")
+def active_sources(spark, d):
+    """How many runs a range scan opens."""
+    return stats.prune_range(_url_runs(spark, d), included("https://t"), excluded("https://u")).agg(F.count("*").alias("n_sources"))
+
+
 @_query(f"WITH {_URL_RUNS} SELECT * FROM ur WHERE last_key >= 'https://th' AND first_key < 'https://ti'")
 def prune_prefix(spark, d):
     return stats.prune_prefix(_url_runs(spark, d), "https://th")
@@ -406,10 +483,10 @@ def manifest_replay(spark, d):
     return stats.replay_manifest(flushes.unionByName(merges))
 
 
-@_query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id < (SELECT coalesce(min(event_id), 9223372036854775807) FROM events WHERE event_id >= 7000) GROUP BY 1")
+@_query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id < " + _sql_at(70) + " GROUP BY 1")
 def wal_replay(spark, d):
     e = _table(spark, d, "events").select("user_id", "event_id", "event_type")
-    sum_ = stats.log_checksum(F.col("user_id"), F.col("event_id"), F.col("event_type")) + F.when(F.col("event_id") >= 7000, 1).otherwise(0)
+    sum_ = stats.log_checksum(F.col("user_id"), F.col("event_id"), F.col("event_type")) + F.when(F.col("event_id") >= _at(spark, d, 70), 1).otherwise(0)
     return stats.replay_log(e.withColumn("crc", sum_), "user_id", "event_id", "event_type", "crc")
 
 
@@ -430,21 +507,19 @@ def block_layout(spark, d):
 
 
 @_query(
-    f"WITH {_LAYOUT}, m AS (SELECT run, block, min(url) AS first_key FROM bl GROUP BY 1, 2), k AS (SELECT DISTINCT url FROM pages WHERE page_id < 20) "
-    "SELECT run, url, arg_max(block, first_key) AS block FROM k JOIN m ON first_key <= url GROUP BY 1, 2"
+    f"WITH {_LAYOUT}, m AS (SELECT run, block, min(url) AS first_key FROM bl GROUP BY 1, 2), k AS (SELECT DISTINCT page_id // 50 AS run, url FROM pages) "
+    "SELECT k.run, url, arg_max(block, (first_key, block)) AS block FROM k JOIN m ON k.run = m.run AND first_key <= url GROUP BY 1, 2"
 )
 def find_block(spark, d):
-    wanted = pages(spark, d).where("page_id < 20").select("url").distinct()
-    return blocks.find_block(blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id"), ["run"], wanted, "url")
+    """Every key of every run, looked up in that run."""
+    laid = _laid(spark, d)
+    return blocks.find_block(blocks.block_metadata(laid, ["run"], "url", "page_id"), ["run"], laid.select("run", "url"), "url")
 
 
-@_query(
-    f"WITH {_LAYOUT}, m AS (SELECT run, block, min(url) AS first_key FROM bl GROUP BY 1, 2), k AS (SELECT DISTINCT url FROM pages) "
-    "SELECT run, url, arg_max(block, first_key) AS block FROM k JOIN m ON first_key <= url GROUP BY 1, 2"
-)
-def find_block_all(spark, d):
-    """Every key in every run."""
-    return blocks.find_block(blocks.block_metadata(_laid(spark, d), ["run"], "url", "page_id"), ["run"], pages(spark, d).select("url"), "url")
+@_query(f"WITH {_LAYOUT} SELECT run, count(DISTINCT block) AS n_blocks, CAST(sum({_ENTRY}) AS BIGINT) AS n_bytes, max(page_id) AS max_ts FROM bl GROUP BY 1")
+def run_sizes(spark, d):
+    size = blocks.entry_size(F.col("url"), F.col("page_id"))
+    return _laid(spark, d).groupBy("run").agg(F.countDistinct("block").alias("n_blocks"), F.sum(size).alias("n_bytes"), F.max("page_id").alias("max_ts"))
 
 
 @_query(
@@ -465,17 +540,14 @@ def bloom_sizing(spark, d):
     return n.select("n", F.lit(b).alias("bits_per_key"), F.greatest(F.lit(64), F.col("n") * b).cast("bigint").alias("n_bits"), F.lit(bloom.n_hashes(b)).alias("n_hashes"))
 
 
-def _position(key: str) -> str:
-    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) + i * CAST('0x' || substr(md5({key}), 9, 8) AS BIGINT)) % 4096"
-
-
 @_query(
-    f"WITH k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('url')} AS bit FROM pages, k WHERE page_id < 100), a AS (SELECT DISTINCT url, {_position('url')} AS bit FROM pages, k) "
+    f"WITH k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('url')} AS bit FROM pages, k WHERE page_id < (SELECT max(page_id) // 2 FROM pages)), a AS (SELECT DISTINCT url, {_position('url')} AS bit FROM pages, k) "
     "SELECT url FROM a LEFT JOIN b ON a.bit = b.bit GROUP BY url HAVING count(*) = count(b.bit)"
 )
 def bloom_membership(spark, d):
+    """Of all pages, those that a filter over the older half may contain."""
     p = pages(spark, d)
-    return bloom.probe(p.select("url").distinct(), "url", bloom.build(p.where("page_id < 100"), "url", 4096, 6), 4096, 6)
+    return bloom.probe(p.select("url").distinct(), "url", bloom.build(p.where(F.col("page_id") < _half(p)), "url", 4096, 6), 4096, 6)
 
 
 @_query(
@@ -486,13 +558,13 @@ def delimiter_prefixes(spark, d):
 
 
 @_query(
-    f"WITH p AS (SELECT DISTINCT array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS prefix FROM pages WHERE page_id < 50), k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('prefix')} AS bit FROM p, k), "
+    f"WITH p AS (SELECT DISTINCT array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS prefix FROM pages WHERE page_id < (SELECT max(page_id) // 2 FROM pages)), k AS (SELECT unnest(range(0, 6)) AS i), b AS (SELECT DISTINCT {_position('prefix')} AS bit FROM p, k), "
     f"q AS (SELECT DISTINCT array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS prefix FROM pages), a AS (SELECT DISTINCT prefix, {_position('prefix')} AS bit FROM q, k) SELECT prefix FROM a LEFT JOIN b ON a.bit = b.bit GROUP BY prefix HAVING count(*) = count(b.bit)"
 )
 def prefix_bloom(spark, d):
     host = F.array_join(F.slice(F.split("url", "/"), 1, 3), "/").alias("prefix")
     p = pages(spark, d)
-    return bloom.probe(p.select(host).distinct(), "prefix", bloom.build(p.where("page_id < 50").select(host), "prefix", 4096, 6), 4096, 6)
+    return bloom.probe(p.select(host).distinct(), "prefix", bloom.build(p.where(F.col("page_id") < _half(p)).select(host), "prefix", 4096, 6), 4096, 6)
 
 
 @_query("SELECT run, event_id, n FROM (SELECT event_id // 1000 AS run, event_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY user_id, event_id DESC) AS n FROM events) WHERE n <= 20 OR n % 100 = 0")
@@ -500,53 +572,73 @@ def dict_sample(spark, d):
     return blocks.dictionary_sample(runs(spark, d), ["run"], [F.col("user_id"), F.col("event_id").desc()]).select("run", "event_id", "n")
 
 
-@_query("SELECT user_id, upper(hex(encode(CAST(user_id AS VARCHAR)))) AS plain, CAST(length(CAST(user_id AS VARCHAR)) AS BIGINT) AS n FROM events GROUP BY 1")
+@_query("SELECT DISTINCT user_id, upper(hex(encode(CAST(user_id AS VARCHAR)))) AS plain, 'B' || array_to_string(string_split(CAST(user_id AS VARCHAR), ''), 'B') AS signed FROM events")
 def binary_keys(spark, d):
+    """Keys as bytes, and as bytes whose unsigned order is the signed one; digits are bytes 30 to 39, which become B0 to B9."""
     text = F.col("user_id").cast("string")
-    return _table(spark, d, "events").groupBy("user_id").agg(F.lit(1).alias("one")).select("user_id", F.hex(text.cast("binary")).alias("plain"), F.octet_length(text).cast("bigint").alias("n"))
+    return _table(spark, d, "events").select("user_id", F.hex(text.cast("binary")).alias("plain"), keys.signed_byte_key(text).alias("signed")).distinct()
+
+
+@_query("SELECT c AS codec, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events, (SELECT unnest(['lz4', 'none', 'zlib', 'zstd']) AS c) GROUP BY 1")
+def codec_round_trip(spark, d):
+    """All events, written under each codec and read again."""
+    out = []
+    for name in sorted(blocks.CODECS):
+        at = scratch(spark, f"codec-{name}")
+        _table(spark, d, "events").select("event_id", "event_type").write.options(**blocks.codec_options(name)).parquet(at)
+        out.append(spark.read.parquet(at).agg(F.count("*").alias("n"), F.sum("event_id").alias("total")).select(F.lit(name).alias("codec"), "n", "total"))
+    return read.concat_runs(out)
 
 
 # ---- quorum
 
 
 @_query(
-    "WITH m AS (SELECT user_id % 5 AS node, max(event_id) AS match_index FROM events WHERE user_id < 60 GROUP BY 1), k AS (SELECT match_index FROM m ORDER BY match_index DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM m)) "
-    "SELECT max(event_id) AS commit_index FROM events, k WHERE event_id <= match_index AND event_id // 500 = 3"
+    "WITH m AS (SELECT user_id % 5 AS node, max(event_id) AS match_index FROM events GROUP BY 1), k AS (SELECT match_index FROM m ORDER BY match_index DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM m)) "
+    "SELECT max(event_id) AS commit_index FROM events, k WHERE event_id <= match_index AND event_id // 500 = 1"
 )
 def quorum_commit_index(spark, d):
+    """The matches of all users."""
     e = _table(spark, d, "events")
-    return _commit_index(e.where("user_id < 60"), e)
+    m = e.groupBy((F.col("user_id") % 5).alias("node")).agg(F.max("event_id").alias("match_index"))
+    log = e.select(F.col("event_id").alias("index"), F.floor(F.col("event_id") / 500).alias("term"))
+    return quorum.commit_index(m, log, 1)
 
 
-@_query(
-    "WITH m AS (SELECT user_id % 5 AS node, max(event_id) AS match_index FROM events GROUP BY 1), k AS (SELECT match_index FROM m ORDER BY match_index DESC LIMIT 1 OFFSET (SELECT count(*) // 2 FROM m)) "
-    "SELECT max(event_id) AS commit_index FROM events, k WHERE event_id <= match_index AND event_id // 500 = 3"
-)
-def quorum_commit_index_all(spark, d):
-    """The matches of all users."""
+@_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events GROUP BY 1")
+def quorum_votes(spark, d):
+    """Every event is a vote."""
     e = _table(spark, d, "events")
-    return _commit_index(e, e)
+    return quorum.elected(e.select((F.col("user_id") % 7).alias("candidate"), F.col("event_type").isin("click", "view", "purchase").alias("granted")))
 
 
-def _commit_index(matched, e):
-    m = matched.groupBy((F.col("user_id") % 5).alias("node")).agg(F.max("event_id").alias("match_index"))
-    log = e.select(F.col("event_id").alias("index"), F.floor(F.col("event_id") / 500).alias("term"))
-    return quorum.commit_index(m, log, 3)
+_NODES = "nd AS (SELECT user_id % 5 AS node, min(event_id) AS first_index, max(event_id) AS last_index, max(event_id) // 500 AS last_term, count(*) AS n_entries FROM events GROUP BY 1)"
 
 
-@_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events WHERE event_id < 700 GROUP BY 1")
-def quorum_votes(spark, d):
-    return _elected(_table(spark, d, "events").where("event_id < 700"))
+def _node_log(spark, d):
+    return _table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("index"), F.floor(F.col("event_id") / 500).alias("term"))
 
 
-@_query("SELECT user_id % 7 AS candidate, 2 * count(*) FILTER (event_type IN ('click', 'view', 'purchase')) > count(*) AS elected FROM events GROUP BY 1")
-def quorum_votes_all(spark, d):
-    """Every event is a vote."""
-    return _elected(_table(spark, d, "events"))
+@_query(f"WITH {_NODES} SELECT node, first_index, last_index, last_term, n_entries FROM nd")
+def quorum_node_state(spark, d):
+    return quorum.node_state(_node_log(spark, d))
 
 
-def _elected(e):
-    return quorum.elected(e.select((F.col("user_id") % 7).alias("candidate"), F.col("event_type").isin("click", "view", "purchase").alias("granted")))
+@_query(
+    f"WITH {_NODES}, n AS (SELECT *, CASE WHEN node = 1 THEN 2 WHEN node = 2 THEN 3 END AS voted_for FROM nd) SELECT r.node AS candidate, r.last_term + 1 AS term, n.node AS node, "
+    "r.last_term + 1 >= n.last_term + 1 AND (n.voted_for IS NULL OR n.voted_for = r.node OR r.last_term + 1 > n.last_term + 1) AND (r.last_term > n.last_term OR r.last_term = n.last_term AND r.last_index >= n.last_index) AS granted FROM nd r, n"
+)
+def quorum_vote_decision(spark, d):
+    """Each node asks all for their votes in the term after its last; two have voted."""
+    state = quorum.node_state(_node_log(spark, d))
+    voted = F.when(F.col("node") == 1, F.lit(2)).when(F.col("node") == 2, F.lit(3))
+    nodes = state.select("node", (F.col("last_term") + 1).alias("current_term"), voted.alias("voted_for"), "last_index", "last_term")
+    return quorum.votes(nodes, state.select(F.col("node").alias("candidate"), (F.col("last_term") + 1).alias("term"), "last_index", "last_term"))
+
+
+@_query("SELECT user_id % 5 AS node, event_id AS index, event_id // 500 AS term FROM events WHERE event_id > " + _sql_at(60))
+def quorum_truncation(spark, d):
+    return quorum.truncated(_node_log(spark, d), _at(spark, d, 60))
 
 
 # ---- relational queries over snapshots
@@ -576,10 +668,10 @@ def snapshot_rollup(spark, d):
     return _live(spark, d).join(c, F.col("o_custkey") == F.col("c_custkey")).rollup("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_EV}, a AS ({_snap('3000')}), b AS ({_snap('9000')}) SELECT 'both' AS kind, count(*) AS n FROM (SELECT user_id FROM a INTERSECT SELECT user_id FROM b) UNION ALL SELECT 'gone', count(*) FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT user_id FROM a UNION SELECT user_id FROM b)")
+@_query(f"WITH {_EV}, a AS ({_snap(_sql_at(30))}), b AS ({_snap(_sql_at(90))}) SELECT 'both' AS kind, count(*) AS n FROM (SELECT user_id FROM a INTERSECT SELECT user_id FROM b) UNION ALL SELECT 'gone', count(*) FROM (SELECT user_id FROM a EXCEPT SELECT user_id FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT user_id FROM a UNION SELECT user_id FROM b)")
 def snapshot_setops(spark, d):
     e = events(spark, d)
-    a, b = (read.visible_at(e, EVENTS, t).select("user_id") for t in (3000, 9000))
+    a, b = (read.visible_at(e, EVENTS, _at(spark, d, t)).select("user_id") for t in (30, 90))
     each = [("both", a.intersect(b)), ("gone", a.exceptAll(b)), ("any", a.union(b).distinct())]
     out = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in each]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -601,11 +693,35 @@ def snapshot_asof(spark, d):
     return e.where(F.col("event_type").isin("click", "purchase")).withColumn("seen", seen).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("at"), "seen")
 
 
-@_query(f"WITH {_EV}, s AS ({_snap('5000')}) SELECT event_type, count(*) AS n FROM s GROUP BY 1")
+@_query(f"WITH {_EV}, s AS ({_snap(_sql_at(50))}) SELECT event_type, count(*) AS n FROM s GROUP BY 1")
 def snapshot_sql(spark, d):
     """Spark SQL over a snapshot that is registered as a view."""
-    read.visible_at(events(spark, d), EVENTS, 5000).createOrReplaceTempView("snapshot_5000")
-    return spark.sql("SELECT event_type, count(*) AS n FROM snapshot_5000 GROUP BY event_type")
+    read.visible_at(events(spark, d), EVENTS, _at(spark, d, 50)).createOrReplaceTempView("snapshot_half")
+    return spark.sql("SELECT event_type, count(*) AS n FROM snapshot_half GROUP BY event_type")
+
+
+@_query(f"WITH {_LIVE} SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN live ON o_custkey = c_custkey")
+def snapshot_outer_join(spark, d):
+    """Customers with the order that is visible, if any."""
+    return _table(spark, d, "customer").select("c_custkey").join(_live(spark, d), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@_query(f"WITH {_LIVE} SELECT o_custkey, o_orderkey, o_totalprice FROM live ORDER BY o_custkey")
+def snapshot_sorted(spark, d):
+    """All visible rows in key order: a range partitioning and a sort within it."""
+    return _live(spark, d).select("o_custkey", "o_orderkey", "o_totalprice").sort("o_custkey")
+
+
+@_query("SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def json_properties(spark, d):
+    k = F.from_json("props", "k int")["k"].alias("k")
+    return _table(spark, d, "events").groupBy(k).agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+@_query("SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS quarter, count(*) AS n, max(CAST(date_diff('day', date_trunc('month', o_orderdate), o_orderdate) AS INT)) AS last_day FROM orders GROUP BY 1, 2")
+def order_calendar(spark, d):
+    day = F.date_diff(F.col("o_orderdate"), F.date_trunc("month", "o_orderdate"))
+    return _table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count("*").alias("n"), F.max(day).alias("last_day"))
 
 
 @_query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
@@ -620,18 +736,20 @@ def conversation_heads(spark, d):
 @_query(f"WITH {_EV} {_snap('9223372036854775807')}")
 def stream_latest(spark, d):
     """The newest visible version of each key, kept by a stream over the events."""
-    import tempfile
-    import uuid
-
     from palimpsest.streaming.ingest import latest
 
     # a pattern, as a stream can't begin at a path that is one file
     stream = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
     stream = stream.select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("deleted"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{top}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     out = latest(stream, EVENTS, ["event_type", "value"])
     out.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     state = spark.read.format("statestore").load(at)
     value = state.schema["value"].dataType.fieldNames()[0]
     return state.select("key.user_id", f"value.{value}.*").where(~F.col("deleted")).select("user_id", "event_id", "event_type", "value")
+
+
+from palimpsest.plans import store_queries  # noqa: E402  registers the queries of the store, which use what stands above
+
+QUERIES |= store_queries.QUERIES
+ORACLES |= store_queries.ORACLES

@@ -26,73 +26,86 @@ def merged(spark, *runs):
     return pairs(read.merge_runs([changelog(spark, [(k, 0, v) for k, v in r.items()]) for r in runs], KV))
 
 
-ONE, TWO, THREE = {"a": "1.1", "b": "2.1", "c": "3.1", "e": ""}, {"a": "1.2", "b": "2.2", "c": "3.2", "d": "4.2"}, {"b": "2.3", "c": "3.3", "d": "4.3"}
+NORTH, EAST, SOUTH = {"ash": "n", "fir": "n", "yew": ""}, {"ash": "e", "elm": "e", "oak": "e"}, {"elm": "s", "fir": "s", "oak": "", "tea": "s"}
 
 
 def test_merge_priority(spark):
-    assert merged(spark, ONE, TWO, THREE) == [("a", "1.1"), ("b", "2.1"), ("c", "3.1"), ("d", "4.2"), ("e", "")]
-    assert merged(spark, THREE, ONE, TWO) == [("a", "1.1"), ("b", "2.3"), ("c", "3.3"), ("d", "4.3"), ("e", "")]
-    assert merged(spark, {}, TWO) == merged(spark, TWO, {}) == sorted(TWO.items())
+    def first(*runs):
+        out = {}
+        for r in reversed(runs):
+            out.update(r)
+        return sorted(out.items())
+
+    for order in ((NORTH, EAST, SOUTH), (SOUTH, NORTH, EAST), (EAST, SOUTH, NORTH), ({}, EAST), (EAST, {}), ({}, {})):
+        assert merged(spark, *order) == first(*order)
 
 
-LADDER = [("a", 1, "1"), ("b", 2, "1"), ("a", 3, "2"), ("b", 4, ""), ("c", 5, "1"), ("a", 6, "3"), ("b", 7, "3"), ("a", 8, "4"), ("b", 9, ""), ("c", 10, "5")]
+LADDER = [("pear", 10, "g"), ("plum", 20, "b"), ("pear", 35, "y"), ("fig", 40, "v"), ("plum", 55, ""), ("lime", 60, "g"), ("fig", 61, ""), ("plum", 75, "r"), ("pear", 90, "")]
 
 
-@pytest.mark.parametrize(
-    ("at", "seen"),
-    [
-        (2, {"a": "1", "b": "1"}),
-        (3, {"a": "2", "b": "1"}),
-        (5, {"a": "2", "c": "1"}),
-        (7, {"a": "3", "b": "3", "c": "1"}),
-        (8, {"a": "4", "b": "3", "c": "1"}),
-        (10, {"a": "4", "c": "5"}),
-    ],
-)
-def test_snapshot_ladder(spark, at, seen):
-    assert pairs(read.visible_at(changelog(spark, LADDER), KV, at)) == sorted(seen.items())
+@pytest.mark.parametrize("at", [5, 10, 34, 35, 50, 55, 60, 61, 80, 90, 1000])
+def test_snapshot_ladder(spark, at):
+    seen = {}
+    for k, t, v in LADDER:
+        if t <= at:
+            seen[k] = v
+    assert pairs(read.visible_at(changelog(spark, LADDER), KV, at)) == sorted((k, v) for k, v in seen.items() if v)
+
+
+def test_seek(spark):
+    log = changelog(spark, LADDER)
+    first = lambda key, at=None: [r["key"] for r in read.seek(log, KV, key, at).collect()]
+    assert first("a", 50) == ["fig"] and first("fig", 50) == ["fig"] and first("fig") == ["lime"] and first("pear") == ["plum"] and first("q") == []
+    assert [r["key"] for r in read.seek(log, KV, "g", 80, 2).collect()] == ["lime", "pear"]
 
 
 def test_deleted_key_never_shows_an_older_value(spark):
     log = changelog(spark, LADDER)
-    assert read.get(log, KV, "b").count() == 0
-    assert pairs(read.scan(log, KV, included("a"), included("a"), 10)) == [("a", "4")]
-    assert pairs(read.scan(log, KV, excluded("a"), excluded("b"), 10)) == []
+    assert read.get(log, KV, "pear").count() == read.get(log, KV, "fig").count() == 0
+    assert pairs(read.scan(log, KV, included("lime"), included("lime"))) == [("lime", "g")]
+    assert pairs(read.scan(log, KV, excluded("lime"), excluded("plum"))) == []
+
+
+OLD = [("x", 3, "1"), ("y", 4, "1"), ("x", 6, ""), ("z", 6, "1"), ("y", 8, "2"), ("z", 9, ""), ("x", 11, "3"), ("w", 12, "1"), ("w", 13, "")]
 
 
-GC = [("a", 1, "1"), ("b", 1, "1"), ("a", 2, "2"), ("d", 2, "2"), ("a", 3, "3"), ("d", 3, ""), ("c", 4, "4"), ("a", 4, "")]
+@pytest.mark.parametrize("mark", [0, 3, 5, 6, 8, 10, 12, 13, 99])
+@pytest.mark.parametrize("bottom", [True, False])
+def test_what_compaction_keeps(spark, mark, bottom):
+    newest = {}
+    for k, t, v in OLD:
+        if t <= mark:
+            newest[k] = (t, v)
+    kept = {(k, t) for k, t, _ in OLD if t > mark} | {(k, t) for k, (t, v) in newest.items() if v or not bottom}
+    log = changelog(spark, OLD)
+    assert {(r["key"], r["ts"]) for r in compact.retain(log, KV, mark, bottom).collect()} == kept
+    assert {(r["key"], r["ts"]) for r in compact.reclaimed(log, KV, mark, bottom).collect()} == {(k, t) for k, t, _ in OLD} - kept
 
 
-@pytest.mark.parametrize(
-    ("mark", "kept"),
-    [
-        (0, "a4 a3 a2 a1 b1 c4 d3 d2"),
-        (1, "a4 a3 a2 a1 b1 c4 d3 d2"),
-        (2, "a4 a3 a2 b1 c4 d3 d2"),
-        (3, "a4 a3 b1 c4"),
-        (4, "b1 c4"),
-    ],
-)
-def test_gc_ladder(spark, mark, kept):
-    got = compact.retain(changelog(spark, GC), KV, mark, True).collect()
-    assert sorted(f"{r['key']}{r['ts']}" for r in got) == sorted(kept.split())
+def test_retention_limits_versions_before_the_shuffle(spark, tmp_path):
+    at = str(tmp_path / "log")
+    changelog(spark, OLD).write.parquet(at)
+    log = spark.read.parquet(at)
+    plan = compact.retain(log, KV, 6, True)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange") == 1 and "GreaterThan(ts,6)" in plan
+    assert compact.reclaimed(log, KV, 6, True)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def test_filter_and_watermark(spark):
-    rows = [(f"table{n}_{k}", 1, "1") for n in (1, 2) for k in "abc"] + [(f"table{n}_{k}", 2, v) for n in (1, 2) for k, v in (("a", "2"), ("b", ""), ("c", "2"))]
-    drop = [F.col("key").startswith("table2_")]
-    got = lambda mark: sorted((r["key"], r["value"]) for r in compact.retain(changelog(spark, rows), KV, mark, True, drop).collect())
-    assert got(1) == sorted([("table1_a", "2"), ("table1_a", "1"), ("table1_b", ""), ("table1_b", "1"), ("table1_c", "2"), ("table1_c", "1"), ("table2_a", "2"), ("table2_b", ""), ("table2_c", "2")])
-    assert got(2) == [("table1_a", "2"), ("table1_c", "2")]
+    rows = [(f"{n}/{k}", t, v) for n in ("keep", "toss") for k, t, v in (("i", 1, "a"), ("i", 5, "b"), ("j", 2, "a"), ("j", 6, ""), ("k", 3, "a"))]
+    drop = [F.col("key").startswith("toss/")]
+    got = lambda mark: sorted((r["key"], r["ts"]) for r in compact.retain(changelog(spark, rows), KV, mark, True, drop).collect())
+    assert got(4) == [("keep/i", 1), ("keep/i", 5), ("keep/j", 2), ("keep/j", 6), ("keep/k", 3), ("toss/i", 5), ("toss/j", 6)]
+    assert got(9) == [("keep/i", 5), ("keep/k", 3)]
 
 
-def test_storage_scan(spark):
-    runs = [{"3": "23333", "1": ""}, {"00": "2333"}, {"1": "233", "2": "2333"}, {"4": ""}, {"0": "2333333", "00": "2333333", "4": "23"}]
+def test_scan_over_runs(spark):
+    runs = [{"bee": "new", "ant": ""}, {"ant": "mid", "cow": "mid"}, {"cow": "", "dog": "old", "eel": ""}]
     log = read.merge_runs([changelog(spark, [(k, 0, v) for k, v in r.items()]) for r in runs], KV)
-    assert pairs(read.visible_at(log, KV)) == [("0", "2333333"), ("00", "2333"), ("2", "2333"), ("3", "23333")]
-    assert [k for k, _ in pairs(read.scan(log, KV, included("1"), included("2")))] == ["2"]
-    assert [k for k, _ in pairs(read.scan(log, KV, excluded("1"), excluded("3")))] == ["2"]
-    assert read.get(log, KV, "4").count() == read.get(log, KV, "--").count() == 0
+    assert pairs(read.visible_at(log, KV)) == [("bee", "new"), ("cow", "mid"), ("dog", "old")]
+    assert [k for k, _ in pairs(read.scan(log, KV, included("ant"), excluded("cow")))] == ["bee"]
+    assert [k for k, _ in pairs(read.scan(log, KV, excluded("bee"), UNBOUNDED))] == ["cow", "dog"]
+    assert read.get(log, KV, "ant").count() == read.get(log, KV, "gnu").count() == 0
 
 
 def test_prefix(spark):
@@ -156,7 +169,7 @@ def test_random_changelogs(spark, seed):
 
 
 def test_merge_is_associative(spark):
-    a, b, c = (changelog(spark, [(k, 0, v) for k, v in r.items()]) for r in (ONE, TWO, THREE))
+    a, b, c = (changelog(spark, [(k, 0, v) for k, v in r.items()]) for r in (NORTH, EAST, SOUTH))
     left = read.merge_runs([read.merge_runs([a, b], KV), c], KV)
     right = read.merge_runs([a, read.merge_runs([b, c], KV)], KV)
     assert pairs(left) == pairs(right)
@@ -199,6 +212,23 @@ def test_bloom(spark):
     assert len(maybe) < 100 + 9_900 * 0.03
 
 
+def test_too_many_hashes_say_nothing(spark):
+    some = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert bloom.probe(some, "key", bloom.build(some.limit(0), "key", 64, 3), 64, 31).count() == 2 and bloom.probe(some, "key", bloom.build(some.limit(0), "key", 64, 3), 64, 3).count() == 0
+
+
+def test_find_block_has_no_range_join(spark):
+    keys_, blocks_ = spark.range(100).selectExpr("id % 3 as run", "cast(id as string) as key"), spark.range(9).selectExpr("id % 3 as run", "id as block", "cast(id * 10 as string) as first_key")
+    assert "NestedLoop" not in blocks.find_block(blocks_, ["run"], keys_, "key")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes(spark):
+    nodes = spark.createDataFrame([(1, 4, None, 10, 4), (2, 5, 9, 10, 4), (3, 5, 7, 10, 4), (4, 5, None, 11, 4), (5, 6, None, 1, 1), (6, 3, 2, 12, 3)], "node int, current_term int, voted_for int, last_index int, last_term int")
+    request = spark.createDataFrame([(7, 5, 10, 4)], "candidate int, term int, last_index int, last_term int")
+    # 2 has voted for another, 4 has a longer log, 5 is in a later term
+    assert {r["node"]: r["granted"] for r in quorum.votes(nodes, request).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
 def test_delimiter_prefixes(spark):
     df = spark.createDataFrame([("aaa:bbb:ccc",), ("plain",), ("x:",)], "k string").select("k", keys.delimiter_prefixes(F.col("k"), ":").alias("p"))
     assert {r["k"]: r["p"] for r in df.collect()} == {"aaa:bbb:ccc": ["aaa", "aaa:bbb"], "plain": [], "x:": ["x"]}
@@ -223,7 +253,8 @@ def test_quorum(spark):
 def test_key_predicates_reach_the_scan(spark, tmp_path):
     at = str(tmp_path / "log")
     changelog(spark, LADDER).write.parquet(at)
-    df = read.scan(spark.read.parquet(at), KV, included("a"), excluded("c"), 5)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole predicates in the plan's text
+    df = read.scan(spark.read.parquet(at), KV, included("fig"), excluded("plum"), 50)
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("]")[0]
-    assert "GreaterThanOrEqual(key,a)" in pushed and "LessThan(key,c)" in pushed and "LessThanOrEqual(ts,5)" in pushed and "deleted" not in pushed
+    assert "GreaterThanOrEqual(key,fig)" in pushed and "LessThan(key,plum)" in pushed and "LessThanOrEqual(ts,50)" in pushed and "deleted" not in pushed

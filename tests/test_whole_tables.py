@@ -23,8 +23,8 @@ def log(spark):
 
 def test_find_block(spark):
     starts = [(1, 0, "b"), (1, 1, "d"), (1, 2, "d"), (2, 0, "a"), (None, 7, "c"), (3, 0, None)]
-    wanted = [(k,) for k in ["a", "b", "bb", "d", "z", "z", None]]
-    out = blocks.find_block(spark.createDataFrame(starts, "run long, block long, first_key string"), ["run"], spark.createDataFrame(wanted, "key string"), "key")
+    wanted = [(r, k) for r in (1, 2, None, 4) for k in ["a", "b", "bb", "d", "z", "z", None]]
+    out = blocks.find_block(spark.createDataFrame(starts, "run long, block long, first_key string"), ["run"], spark.createDataFrame(wanted, "run long, key string"), "key")
     best = {(r, k): max((f, b) for q, b, f in starts if q == r and f and f <= k)[1] for r in (1, 2, None) for k in "a b bb d z".split() if any(q == r and f and f <= k for q, _, f in starts)}
     assert sorted(map(repr, ((*k, b) for k, b in best.items()))) == sorted(repr(tuple(r)) for r in out.collect())
 
@@ -34,15 +34,15 @@ def test_find_block_of_every_key(spark):
     at = defaultdict(dict)
     for r in catalogue.QUERIES["block_layout"](spark, DATA).collect():
         at[r["run"]][r["first_key"]] = max(r["block"], at[r["run"]].get(r["first_key"], -1))
-    urls = {r[0] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect()}
-    want = [(run, u, first[max(f for f in first if f <= u)]) for run, first in at.items() for u in urls if min(first) <= u]
-    assert found(spark, "find_block_all") == sorted(want) and len({u for _, u, _ in want}) > 20
+    asked = {(r["page_id"] // 50, r["url"]) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    assert found(spark, "find_block") == sorted((run, u, at[run][max(f for f in at[run] if f <= u)]) for run, u in asked) and len(asked) > 20
 
 
 @tables
 def test_conflicts_of_every_event(spark, log):
-    want = {(e % 10, u, e % 10 * 1000) for e, u, _ in log if any(v == u and t == "purchase" and c > e % 10 * 1000 for c, v, t in log)}
-    assert found(spark, "txn_conflicts_all") == sorted(want)
+    step = max(e for e, _, _ in log) * 10 // 100
+    want = {(e % 10, u, e % 10 * step) for e, u, _ in log if any(v == u and t == "purchase" and c > e % 10 * step for c, v, t in log)}
+    assert found(spark, "txn_conflicts") == sorted(want)
 
 
 @tables
@@ -51,6 +51,6 @@ def test_quorums_of_every_event(spark, log):
     for e, u, t in log:
         votes[u % 7].append(t in ("click", "view", "purchase"))
         match[u % 5] = max(match[u % 5], e)
-    assert found(spark, "quorum_votes_all") == sorted((c, 2 * sum(v) > len(v)) for c, v in votes.items())
+    assert found(spark, "quorum_votes") == sorted((c, 2 * sum(v) > len(v)) for c, v in votes.items())
     most = sorted(match.values(), reverse=True)[len(match) // 2]
-    assert found(spark, "quorum_commit_index_all") == [(max((e for e, _, _ in log if e <= most and e // 500 == 3), default=None),)]
+    assert found(spark, "quorum_commit_index") == [(max((e for e, _, _ in log if e <= most and e // 500 == 1), default=None),)]
