@@ -308,7 +308,7 @@ def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: floa
         heavy = F.least("mass", "lead.mass") >= F.greatest("mass", "lead.mass") * (threshold - 1e-4)  # else no similarity that counts
         pairs = member.join(lead.hint("merge"), "bucket").where((F.col("node") != F.col("lead.node")) & heavy)
         judged = verified(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), texts, weights)
-        links = written(spark, judged.where(F.col("similarity") >= threshold - 1e-6).select("a", "b"), "links", narrow=True)
+        links = written(spark, judged.where(F.col("similarity") >= threshold - 1e-6).select("a", "b"), "links")
         found = _joined(found, links)
         # the leads have been compared with all that is left of their buckets
         rest = member.join(lead.select("bucket", F.col("lead.node").alias("node")).hint("merge"), ["bucket", "node"], "left_anti").select("bucket", "node", "n_words")
@@ -320,7 +320,7 @@ def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: floa
         state = state.where("least != most").select("bucket", F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("blocks"))
         live = written(spark, rest.join(state.hint("merge"), "bucket").select("bucket", "node", "component", "blocks"), "live", narrow=True)
         last = level + 1 == len(LEVELS)
-        links = written(spark, _block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links", narrow=True)
+        links = written(spark, _block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links")
         found = _joined(found, links)
         large = None if last else live.where(F.col("blocks") > MOST_BLOCKS).select(F.col("node").alias("row_key")).distinct()
         if large is None or not large.take(1):
