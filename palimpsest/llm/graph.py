@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import dropped, written
 
 
-def _hung(links: DataFrame, small: bool) -> DataFrame:
-    """Hang neighbours on the least node around each node: the larger ones (large star), or the node and its smaller ones (small star)."""
+def _hung(links: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """Hang neighbours on the least node around each node: the larger ones (large star), or the node and its smaller ones (small star).
+
+    The least nodes are a table of their own, so that what they are joined with is dealt for the join alone and Spark splits a star's centre.
+    """
     around = links if small else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(links.sparkSession, around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", narrow=True)
     joined = around.join(least.hint("merge"), "a")
     if small:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a != b").distinct()
+    return out.where("a != b").distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(sums) == state or not sums[0]:
             break
-        state, before = tuple(sums), now
-        now = written(spark, _hung(_hung(now, small=False), small=True), "stars", narrow=True)
-        dropped(spark, before)
+        state = tuple(sums)
+        for small in (False, True):
+            hung, least = _hung(now, small)
+            now, before = written(spark, hung, "stars", narrow=True), now
+            dropped(spark, before, least)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
