@@ -2,11 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Between stages the rows are
 written to the shared folder and read again, so a lost executor never costs more than the running stage.
+
+Null and empty texts are equal: one such document stays, is never toxic by itself, and has no tokens. Rows that repeat doc_id and text leave one
+row; rows that repeat only doc_id are documents of their own, as are those with a null doc_id. Columns beyond those of documents are carried
+along up to the last stage, whatever they are called. Empty documents, labels or benchmark tables give an empty result, no toxic or no contaminated
+documents.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, decontam, exact, neardup, toxicity
@@ -38,6 +42,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, their number and digest, and the digest of the bytes they decode to."""
+    import public_tokenizers
+
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
