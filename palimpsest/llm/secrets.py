@@ -20,7 +20,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_text, written
+from palimpsest.llm.common import id_text, with_key, written
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
+#: Matches whose offsets are added up together.
+SLICE = 256
 #: Strings that one part of a query may list.
 MOST_STRINGS = 64
 
@@ -146,27 +148,33 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     triples = F.zip_with(
         F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("match")), judged, lambda a, j: F.struct(F.length(a["gap"]).alias("gap"), F.length(a["match"]).alias("size"), F.length(j).alias("judged"))
     )
-    shape = "struct<at:bigint,spans:array<struct<start:bigint,number:int,end:bigint>>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,number:int,end:bigint>>").alias("spans"))
+    span = "struct<start:bigint,number:int,end:bigint>"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
     def step(acc, x):
         at = acc["at"] + x["gap"]
-        span = F.array(F.struct(at.cast("bigint").alias("start"), F.lit(number).cast("int").alias("number"), (at + x["size"]).cast("bigint").alias("end")))
-        return F.struct((at + x["size"]).cast("bigint").alias("at"), F.when(x["judged"] >= rule.at_least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(shape)
+        one = F.array(F.struct(at.cast("bigint").alias("start"), F.lit(number).cast("int").alias("number"), (at + x["size"]).cast("bigint").alias("end")))
+        return F.struct((at + x["size"]).cast("bigint").alias("at"), F.when(x["judged"] >= rule.at_least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans")).cast(f"struct<at:bigint,spans:array<{span}>>")
 
-    return F.aggregate(triples, start, step, lambda acc: acc["spans"])
+    # offsets within slices of SLICE matches, then those of the slices: arrays that grow match by match stay short
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(triples) - 1) / SLICE).cast("int")), lambda i: F.aggregate(F.slice(triples, i * SLICE + 1, F.lit(SLICE)), start, step))
+    base = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("bases"))
+    bases = F.aggregate(slices, base, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
+    moved = F.zip_with(slices, bases, lambda x, b: F.transform(x["spans"], lambda y: F.struct((y["start"] + b).alias("start"), y["number"].alias("number"), (y["end"] + b).alias("end"))))
+    return F.flatten(moved)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, found`` with ``found`` an array of ``(start, number, end)``, ``number`` the rule's place in ``rules``; in order."""
     spark = docs.sparkSession
-    texts = id_text(docs).withColumn("known_id", F.coalesce("doc_id", F.lit(2**63 - 1)))  # joins don't find null
+    named, key = with_key(docs)
+    texts = id_text(named, F.col(key).alias("row_key"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for part in q for s in part for g in s})
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
     if grams:
-        wanted = candidates(written(spark, postings(texts.select(F.col("known_id").alias("doc_id"), "text"), grams), "trigrams"), queries)
-        texts = texts.join(wanted.withColumnRenamed("doc_id", "known_id").hint("merge"), "known_id", "left")  # the same plan at every size
+        wanted = candidates(written(spark, postings(texts.select(F.col("row_key").alias("doc_id"), "text"), grams), "trigrams"), queries)
+        texts = texts.join(wanted.withColumnRenamed("doc_id", "row_key").hint("merge"), "row_key", "left")  # the same plan at every size
     else:
         texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
     each = []

@@ -511,7 +511,7 @@ def plain_secrets(text):
 
 def test_secrets(spark, odd):
     hexes, access = "0123456789abcdef" * 2, "AKIA" + "A1" * 10
-    texts = ["Password: hunter22", "token=abc token = abcdefg", "password: a token=abcdefgh", "secret:token : abcdefgh", f"é {hexes}{hexes[:3]} g{hexes}", access, f"api_key='{hexes}' APIKEY=\"{access}\"", "AKIA" * 3, f"x{hexes[:23]}", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "z" * 36, f"token={access};passwd:{hexes}", "passwordpassword=======abcdefgh"]
+    texts = ["Password: hunter22", "token=abc token = abcdefg", "password: a token=abcdefgh", "secret:token : abcdefgh", f"é {hexes}{hexes[:3]} g{hexes}", access, f"api_key='{hexes}' APIKEY=\"{access}\"", "AKIA" * 3, f"x{hexes[:23]}", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "z" * 36, f"token={access};passwd:{hexes}", "passwordpassword=======abcdefgh", "é token=abcdefg" * 700]
     rows = [r for r in odd if r[0] is not None] + [(300 + i, t) for i, t in enumerate(texts)] + [(300, texts[0]), (None, texts[2])]
     out = {}
     for r in secrets.report(secrets.scan(table(spark, rows))).collect():
