@@ -3,10 +3,12 @@
 A word's input is what is learned for the word itself and the mean of what is learned for its character n-grams (ends included), side by
 side; words and n-grams that stand in few texts of the sample are unknown and give nothing, so that no single text is learned by heart. The text is read in overlapping windows of WINDOW words, STEP apart, the last one flush with the end; all of them are scored. Two gated
 recurrent layers read a window in both directions, attention weighs their states, and a logistic unit gives the window's logit. Only whole texts
-are labelled, so after the first rounds a window of a toxic text counts as toxic only if the network finds it so or it is the text's worst.
+are labelled, so after the first rounds the network looks at all windows of the sampled toxic texts, and a window counts as toxic only if the
+network finds it so or it is the text's worst.
 Finally a logistic regression on a text's worst, three worst and mean logits turns them into the score, with the share of toxic rows restored.
 
-Training uses a bounded sample: about ROWS_PER_LABEL rows of each label, drawn by hash, and WINDOWS_PER_ROW windows of each. Null texts and
+Training uses a bounded sample: about ROWS_PER_LABEL rows of each label, drawn by hash, and WINDOWS_PER_ROW windows of each, drawn at random at first,
+later, for toxic texts, those with the highest scores. Null texts and
 texts without words get the learned share of toxic rows. Rows without a label are scored but not learned from; with one label only, or none,
 every score is the share of toxic rows (0 if there are none). Repeated rows are scored alike. Other columns are ignored.
 """
@@ -329,18 +331,18 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray, share: float
     _informed(network, word, gram, count, first, flat, at[chosen], mask[chosen], target[chosen])
     m1 = {k: np.zeros_like(v) for k, v in network.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in network.p.items()}
-    step, p_window = 0, np.ones(len(owner), np.float32)
+    step, p_window, toxic = 0, np.ones(len(owner), np.float32), np.flatnonzero(target == 1)
     rounds = max(ROUNDS, -(-LEAST_STEPS // max(1, -(-len(chosen) // BATCH))))
     for turn in range(rounds):
-        if 3 * turn >= rounds:  # windows of toxic texts that look clean drop out
-            for i in range(0, len(chosen), 4096):
-                some = chosen[i : i + 4096]
+        if 3 * turn >= rounds:  # of all windows of toxic texts those that look toxic, and the worst of each text; the others drop out
+            for i in range(0, len(toxic), 4096):
+                some = toxic[i : i + 4096]
                 distinct, inner = np.unique(flat[at[some]], return_inverse=True)
                 f = (word[distinct], gram[ranges(first[distinct], count[distinct])], count[distinct])
                 p_window[some] = _sigmoid(network.run(network.project(network.inputs(f)), inner.reshape(len(some), WINDOW), mask[some]))
-            worst = np.zeros(len(learn), np.float32)
-            np.maximum.at(worst, owner[chosen], p_window[chosen])
-            live = chosen[(target[chosen] == 0) | (p_window[chosen] >= 0.5) | (p_window[chosen] >= worst[owner[chosen]])]
+            by = toxic[np.lexsort((-p_window[toxic], owner[toxic]))]
+            rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
+            live = np.r_[chosen[target[chosen] == 0], by[(rank == 0) | (p_window[by] >= 0.5) & (rank < WINDOWS_PER_ROW)]]
         else:
             live = chosen
         live = rng.permutation(live)
