@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import scratch
+
 #: Text bytes a Python worker handles at once; numpy temporaries are a small multiple of it.
 CHUNK_BYTES = 4 << 20
 
@@ -29,17 +29,6 @@ def id_text(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else (one machine only) a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def input_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the size of the tables that ``df`` reads: for files their bytes; 0 for what has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -72,7 +61,7 @@ def written(spark: SparkSession, df: DataFrame, what: str, narrow: bool = False)
 
     narrow: rows of a few numbers each, written by one task per core rather than one per shuffle partition.
     """
-    path = shared_dir(spark, what)
+    path = scratch(spark, what)
     if narrow:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.option("compression", "zstd").parquet(path)

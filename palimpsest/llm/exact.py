@@ -19,7 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_text, shared_dir, with_key, written
+from palimpsest.llm.common import id_text, with_key, written
+from palimpsest.sources.scratch import scratch
 
 FILES_PER_BATCH = 1024
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,7 +58,7 @@ def _apart(spark: SparkSession) -> SparkSession:
 
 def _keyed_state(spark: SparkSession, staged: str, schema) -> DataFrame:
     """Stream the staged digests through keyed state; ``digest, keep_id, keep_row, locator, group_size`` from what the state retains."""
-    own, at = _apart(spark), shared_dir(spark, "dedup-state")
+    own, at = _apart(spark), scratch(spark, "dedup-state")
     (
         own.readStream.schema(schema)
         .option("maxFilesPerTrigger", FILES_PER_BATCH)
@@ -75,7 +76,7 @@ def _keyed_state(spark: SparkSession, staged: str, schema) -> DataFrame:
     value = state.schema["value"].dataType.fieldNames()
     keep = F.col(f"value.{value[0]}")
     kept = state.select("key.digest", F.negate(keep["minus_id"]).alias("keep_id"), F.negate(keep["minus_row"]).alias("keep_row"), keep["locator"].alias("locator"), F.col(f"value.{value[1]}").alias("group_size"))
-    to = shared_dir(spark, "dedup-kept")
+    to = scratch(spark, "dedup-kept")
     kept.write.option("compression", "zstd").parquet(to)
     return spark.read.schema(kept.schema).parquet(to)
 
@@ -93,7 +94,7 @@ def _judged(named: DataFrame, key: str, digest: Callable[[Column], Column]) -> D
     texts = id_text(named, F.col(key).alias("row"), F.input_file_name().alias("file")).withColumn("norm", normalised(F.col("text")))
     rows = texts.select("doc_id", "row", F.length("text").cast("long").alias("n_code_points"), F.struct("file", "row").alias("locator"), "norm")
     rows = rows.withColumn("text_sha256", sha256_hex(F.col("norm"))).withColumn("digest", F.col("text_sha256") if digest is sha256_hex else digest(F.col("norm"))).drop("norm")
-    staged = shared_dir(spark, "dedup-staged")
+    staged = scratch(spark, "dedup-staged")
     rows.write.option("compression", "zstd").parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged).drop("locator")
     kept = _keyed_state(spark, staged, spark.read.parquet(staged).schema)

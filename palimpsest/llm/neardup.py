@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, chunks, frugal, id_text, mix, prefix_hash, ranges, span_hash, with_key, written
+from palimpsest.llm.common import byte_values, chunks, dropped, frugal, id_text, mix, prefix_hash, ranges, span_hash, with_key, written
 from palimpsest.llm.graph import components
 from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, string_hash
 
@@ -296,19 +296,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _classes(keyed(docs), threshold).drop("row_key")
 
 
-def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
-    """``node, component`` of the nodes that have links."""
+def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: float, made: list[DataFrame]) -> DataFrame | None:
+    """``node, component`` of the nodes that have links. made: gets the tables that are written on the way."""
     spark, found = rows.sparkSession, None
+    keep = lambda df, what, narrow=False: made.append(written(spark, df, what, narrow)) or made[-1]
     size = nodes.select("node", "mass", "n_words")
-    member = written(spark, _company(nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))).join(size.hint("merge"), "node"), "buckets")
+    member = keep(_company(nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))).join(size.hint("merge"), "node"), "buckets")
     wanted = member.select(F.col("node").alias("row_key")).distinct()
-    texts = written(spark, _texts(rows).join(wanted.hint("merge"), "row_key", "left_semi"), "texts")
+    texts = keep(_texts(rows).join(wanted.hint("merge"), "row_key", "left_semi"), "texts")
     for level in range(len(LEVELS)):
         lead = member.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("lead"))
         heavy = F.least("mass", "lead.mass") >= F.greatest("mass", "lead.mass") * (threshold - 1e-4)  # else no similarity that counts
         pairs = member.join(lead.hint("merge"), "bucket").where((F.col("node") != F.col("lead.node")) & heavy)
         judged = verified(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), texts, weights)
-        links = written(spark, judged.where(F.col("similarity") >= threshold - 1e-6).select("a", "b"), "links")
+        links = keep(judged.where(F.col("similarity") >= threshold - 1e-6).select("a", "b"), "links")
         found = _joined(found, links)
         # the leads have been compared with all that is left of their buckets
         rest = member.join(lead.select("bucket", F.col("lead.node").alias("node")).hint("merge"), ["bucket", "node"], "left_anti").select("bucket", "node", "n_words")
@@ -318,15 +319,15 @@ def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: floa
             rest = rest.withColumn("component", F.col("node"))
         state = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n_words").alias("words"))
         state = state.where("least != most").select("bucket", F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("blocks"))
-        live = written(spark, rest.join(state.hint("merge"), "bucket").select("bucket", "node", "component", "blocks"), "live", narrow=True)
+        live = keep(rest.join(state.hint("merge"), "bucket").select("bucket", "node", "component", "blocks"), "live", narrow=True)
         last = level + 1 == len(LEVELS)
-        links = written(spark, _block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links")
+        links = keep(_block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links")
         found = _joined(found, links)
         large = None if last else live.where(F.col("blocks") > MOST_BLOCKS).select(F.col("node").alias("row_key")).distinct()
         if large is None or not large.take(1):
             return found
         named = _narrower(texts.join(large.hint("merge"), "row_key", "left_semi"), weights, level + 1)
-        member = written(spark, _company(written(spark, named, "narrower")).join(size.hint("merge"), "node"), "buckets")
+        member = keep(_company(keep(named, "narrower")).join(size.hint("merge"), "node"), "buckets")
     return found
 
 
@@ -348,7 +349,8 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row_key")).alias("first")
     nodes = named.groupBy(*same).agg(F.min("row_key").alias("node"), F.first("mass").alias("mass"), F.first("bands").alias("bands"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), first)
     nodes = written(spark, nodes, "nodes")
-    found = _linked(nodes, rows, weights, threshold)
+    made: list[DataFrame] = [nodes]
+    found = _linked(nodes, rows, weights, threshold, made)
     part = nodes.select(*same, "node", "copies", "least_id", "first")
     if found is None:
         part = part.withColumn("component", F.col("node"))
@@ -360,6 +362,7 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     summary = written(spark, summary, "summary", narrow=True)
     of = part.select(*same, "component").join(summary.hint("merge"), "component")
     of = written(spark, of.select("n_words", "words_a", "words_b", F.col("alone").alias("alone_"), "class_id", "class_size", F.col("first.row_key").alias("kept_key")), "classes")
+    dropped(spark, *made, part, summary)
     out = named.join(of.hint("merge"), (named.n_words == of.n_words) & (named.words_a == of.words_a) & (named.words_b == of.words_b) & named.alone.eqNullSafe(of.alone_))
     return out.select("row_key", "doc_id", "class_id", "class_size", (F.col("row_key") == F.col("kept_key")).alias("kept"))
 
