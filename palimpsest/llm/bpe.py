@@ -18,6 +18,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,16 @@ class MergeReplay:
             parts[i] = self.merged(words[i])
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
+    @cached_property
+    def by_pair(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+
     def merged(self, word: bytes) -> np.ndarray:
         """One long word: the pair of lowest rank, then the leftmost, is joined until there is none."""
         tok = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(tok)
         nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
-        known = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        known = self.by_pair
         heap = [(r, i) for i in range(n - 1) if (r := known.get(tok[i] << 32 | tok[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:

@@ -111,6 +111,43 @@ def test_language(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def plain_grams(text, n):
+    """N-grams of letters and boundaries, as strings."""
+    out, boundary = [" "], True
+    for c in text.lower() + " ":
+        if c.isalpha():
+            out.append(c)
+        elif not boundary:
+            out.append(" ")
+        boundary = not c.isalpha()
+    t = "".join(out)
+    return [t[i : i + n] for i in range(len(t) - n + 1)]
+
+
+def test_language_against_plain_sets(spark):
+    """Sets of n-grams in place of bit-sliced filters, counted one by one."""
+    rng = random.Random(4)
+    syllables = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["sch", "ung", "er", "lo"], "cc": ["ção", "nh", "il", "ta"]}
+    rows = []
+    for i in range(90):
+        k = list(syllables)[i % 3]
+        rows.append((i, " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 30))) + rng.choice(["", "!", " 12", " Ä"]), k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "lang_pred": F.lit("x"), "held_out": F.lit(None)})
+    docs = docs.unionByName(docs.limit(5))  # repeated rows
+    out = langid.predict(docs, langid.fit(docs.where(~langid.held_out()))).collect()
+    learned = [r for r in docs.where(~langid.held_out()).collect()]
+    known = {}
+    for k in syllables:
+        n = len([1 for r in learned if r["lang"] == k])
+        seen = Counter((g, size) for r in learned if r["lang"] == k for size in langid.SIZES for g in set(plain_grams(r["text"], size)))
+        known[k] = {g for g, c in seen.items() if c >= max(1, langid.MIN_SHARE * n)}
+    text = {i: t for i, t, _ in rows}
+    for r in out:
+        every = [(g, size) for size in langid.SIZES for g in plain_grams(text[r["doc_id"]], size)]
+        share = {k: sum(g in known[k] for g in every) for k in known}
+        assert share[r["lang_pred"]] == max(share.values()) and len(out) == 95
+
+
 # ---- 3
 
 
@@ -377,6 +414,48 @@ def test_toxicity_on_rows_held_out(spark):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_scores_against_a_plain_network(spark):
+    """A text's score with the network written out number by number."""
+    from math import exp, tanh
+
+    rows, labels = toxic_table(spark, 120)
+    docs = table(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where(~toxicity.held_out()))
+    p, h = {k: v.astype(float) for k, v in model.network.p.items()}, toxicity.HIDDEN
+    s = lambda x: 1 / (1 + exp(-x))
+
+    def vector(word):
+        w, grams, _ = toxicity.features([word], model.vocabulary)
+        mean = sum((p["char"][g] if g else np.zeros(toxicity.DIM) for g in grams.tolist()), np.zeros(toxicity.DIM)) / len(grams)
+        return np.concatenate([p["word"][w[0]] if w[0] else np.zeros(toxicity.DIM), mean])
+
+    def one_way(words, d):
+        state, out = [0.0] * h, []
+        for word in words:
+            x = vector(word) @ p["into"][d] + p["bias"][d][0]
+            again = np.array(state) @ p["again"][d]
+            z, r = [s(x[i] + again[i]) for i in range(h)], [s(x[h + i] + again[h + i]) for i in range(h)]
+            n = [tanh(x[2 * h + i] + r[i] * again[2 * h + i]) for i in range(h)]
+            state = [(1 - z[i]) * n[i] + z[i] * state[i] for i in range(h)]
+            out.append(state)
+        return out
+
+    def logit(words):
+        both = [a + b for a, b in zip(one_way(words, 0), reversed(one_way(words[::-1], 1)), strict=True)]
+        look = [exp(float(np.dot(b, p["look"]))) for b in both]
+        pooled = sum((np.array(b) * (e / sum(look)) for b, e in zip(both, look, strict=True)), np.zeros(2 * h))
+        return float(pooled @ p["out"] + p["base"][0])
+
+    text = dict(rows)
+    for r in toxicity.score(docs.where("doc_id in (0, 3, 8, 30, 77)"), model).collect():
+        words = toxicity.words_of(text[r["doc_id"]])
+        each = sorted((logit(words[a : a + toxicity.WINDOW]) for a in toxicity.windows(len(words)).tolist()), reverse=True)
+        x = [each[0], sum(each[:3]) / len(each[:3]), sum(each) / len(each)]
+        assert abs(s(sum(a * b for a, b in zip(x, model.calibration, strict=False)) + model.calibration[3]) - r["score"]) < 2e-3
+    none = docs.limit(0)
+    assert toxicity.score(none, model).count() == toxicity.clean(none, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
 def test_windows_cover_every_word():
     for n in range(0, 200):
         at = toxicity.windows(n)
@@ -512,6 +591,7 @@ def plain_secrets(text):
 def test_secrets(spark, odd):
     hexes, access = "0123456789abcdef" * 2, "AKIA" + "A1" * 10
     texts = ["Password: hunter22", "token=abc token = abcdefg", "password: a token=abcdefgh", "secret:token : abcdefgh", f"é {hexes}{hexes[:3]} g{hexes}", access, f"api_key='{hexes}' APIKEY=\"{access}\"", "AKIA" * 3, f"x{hexes[:23]}", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "z" * 36, f"token={access};passwd:{hexes}", "passwordpassword=======abcdefgh", "é token=abcdefg" * 700]
+    texts.append("x eyJhbGci.eyJzdWIi.c2ln y")
     rows = [r for r in odd if r[0] is not None] + [(300 + i, t) for i, t in enumerate(texts)] + [(300, texts[0]), (None, texts[2])]
     out = {}
     for r in secrets.report(secrets.scan(table(spark, rows))).collect():
@@ -521,7 +601,7 @@ def test_secrets(spark, odd):
         shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
         for r in out[i]:
             assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (*(sum(k == n for _, n, _ in spans) for k in range(3)), sha(shown))
-    assert out[309][0]["spans"] == "pem:0:31" and out[310][0]["spans"] == "github:0:40" and len(out[300]) == 2
+    assert out[300 + len(texts) - 1][0]["spans"] == "jwt:2:24" and out[309][0]["spans"] == "pem:0:31" and out[310][0]["spans"] == "github:0:40" and len(out[300]) == 2
     assert secrets.scan(table(spark, [])).count() == 0
 
 
