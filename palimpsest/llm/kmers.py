@@ -3,6 +3,9 @@
 Both substring operators use this module; one counts windows of words, the other windows of bytes. A row of the shuffle holds all strings
 that one chunk of the corpus sends to one bucket, compressed together. Equal strings of a chunk travel once, with the list of their places,
 so that a group of copies costs a few bytes for each copy. A row is named by ``row_key``.
+
+A minimiser that very many different strings share would make one bucket large. Those that do so in a sample are dealt further by a second minimiser,
+the least under another hash. That moves equal windows together like the first one does, so the sample decides only where windows meet, not what is found.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, chunks, frugal, id_text, input_bytes, mix, mix_in_place, powers, prefix_hash, ranges, span_hash, with_key, written
+from palimpsest.llm.common import byte_values, chunks, dropped, frugal, id_text, input_bytes, mix, mix_in_place, powers, prefix_hash, ranges, span_hash, with_key, written
 
 #: Bases of the two hashes of a string; compared bytes decide, hashes only sort.
 BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
@@ -23,6 +26,10 @@ BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 #: Units of several documents that are hashed at once; more are halved.
 CUT_UNITS = 1 << 20
 
+#: Bytes of the sample in which frequent minimisers are looked for, or this share of the input if that is more; of its words or bytes, the part of an
+#: average bucket from which a minimiser counts as frequent; and how many are told apart at most.
+SAMPLE_BYTES, SAMPLE_SHARE, FREQUENT, MOST_FREQUENT = 16 << 20, 1e-4, 0.5, 100_000
+
 PACKED = "bucket int, text binary, places binary"
 SPANS = "row_key long, start int, end int"
 
@@ -55,11 +62,11 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(v) - w + 1], out[w - size :]) if size < w else out
 
 
-def cut(values: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut(values: np.ndarray, ends: np.ndarray, k: int, m: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-k-mers of a sequence of documents.
 
-    values: a hash for each word, or the bytes; ends: where each document ends. Returns each super-k-mer's first window, number of
-    windows, minimiser's place and minimiser's hash. Of equal minimisers of a window the first counts.
+    values: a hash for each word, or the bytes; ends: where each document ends; frequent: sorted hashes of minimisers that are dealt further. Returns each
+    super-k-mer's first window, number of windows, minimiser's place and the hash that deals it. Of equal minimisers of a window the first counts.
     """
     none = np.zeros(0, np.int64)
     if len(values) < k:
@@ -67,26 +74,64 @@ def cut(values: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarra
     if len(values) > CUT_UNITS and len(ends) > 1:  # half of the documents at a time
         half = min(max(1, int(np.searchsorted(ends, len(values) // 2))), len(ends) - 1)
         at = int(ends[half - 1])
-        a, b = cut(values[:at], ends[:half], k, m), cut(values[at:], ends[half:] - at, k, m)
+        a, b = cut(values[:at], ends[:half], k, m, frequent), cut(values[at:], ends[half:] - at, k, m, frequent)
         return np.r_[a[0], b[0] + at], np.r_[a[1], b[1]], np.r_[a[2], b[2] + at], np.r_[a[3], b[3]]
     p = prefix_hash(byte_values(3)[values] if values.dtype == np.uint8 else values, BASE_A)
     n = len(values) - m + 1
     grams = p[m:] - p[:-m]
     grams *= powers(BASE_A, n)[1]
     mix_in_place(grams)
-    low = np.uint64((1 << 24) - 1)
-    least = grams & ~low  # a chunk has under 2**24 units
-    least |= np.arange(n, dtype=np.uint64)
-    place = (sliding_min(least, k - m + 1) & low).astype(np.int32)
+
+    def least_place(h: np.ndarray) -> np.ndarray:
+        """Of each window the place of its least gram."""
+        low = np.uint64((1 << 24) - 1)  # a chunk has under 2**24 units
+        least = h & ~low
+        least |= np.arange(n, dtype=np.uint64)
+        return (sliding_min(least, k - m + 1) & low).astype(np.int32)
+
+    place = least_place(grams)
     inside = np.ones(len(place), bool)  # the last k - 1 places of each document begin no window
     begins = np.maximum(np.r_[0, ends[:-1]], ends - k + 1)
     outside = ranges(begins, ends - begins)
     inside[outside[outside < len(place)]] = False
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])])
+    starts = np.r_[True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])]
+    first = np.flatnonzero(starts)
+    dealt, again = None, None
+    if frequent is not None and len(frequent):
+        h = grams[place[first]]
+        many = np.flatnonzero(frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h)
+        if len(many):
+            again = np.zeros(len(place), bool)
+            again[ranges(first[many], np.diff(np.r_[first, len(place)])[many])] = True
+            other = mix(grams ^ np.uint64(BASE_B))
+            second = least_place(other)
+            starts |= again & np.r_[True, second[1:] != second[:-1]]
+            first = np.flatnonzero(starts)
+            dealt = np.where(again[first], mix(grams[place[first]] ^ other[second[first]]), grams[place[first]])
     length = np.diff(np.r_[first, len(place)])
     good = inside[first]
-    first, length = first[good], length[good]
-    return first, length, place[first].astype(np.int64), grams[place[first]]
+    if dealt is None:
+        dealt = grams[place[first]]
+    return first[good], length[good], place[first[good]].astype(np.int64), dealt[good]
+
+
+def frequent_minimisers(rows: DataFrame, cut_texts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], buckets: int) -> np.ndarray:
+    """Sorted hashes of the minimisers that many windows of a sample share. ``cut_texts`` gives the number of windows and the hash of each super-k-mer."""
+    spark, size = rows.sparkSession, input_bytes(rows)
+
+    def run(batches):
+        for _, texts in chunks(batches):
+            n, h = cut_texts(texts)
+            keys, where = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"minimiser": pa.array(keys.view(np.int64)), "n": pa.array(np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64))})
+
+    share = min(1.0, max(SAMPLE_BYTES / size, SAMPLE_SHARE)) if size else 1.0
+    some = rows.select("doc_id", "text").sample(share, seed=1).mapInArrow(frugal(run), "minimiser long, n long")
+    counted = written(spark, some.groupBy("minimiser").agg(F.sum("n").alias("n")), "minimisers")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.where(F.col("n") > FREQUENT * total / buckets).orderBy(F.desc("n")).limit(MOST_FREQUENT).select("minimiser").toPandas()["minimiser"]
+    dropped(spark, counted)
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
 def words8(buf: np.ndarray) -> np.ndarray:

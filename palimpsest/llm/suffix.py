@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import CHUNK_BYTES, chunks, frugal, hex_digests, mix, ranges
-from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, same, short_hash, unpacked, without_spans
+from palimpsest.llm.kmers import PACKED, by_bucket, classes, cut, frequent_minimisers, gathered, keyed, n_buckets, packed, same, short_hash, unpacked, without_spans
 
 LENGTH, GRAM = 50, 12
 NO_ID = np.int64(2**63 - 1)
@@ -183,6 +183,13 @@ def permuted_common(buf: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 
 
 def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    def cut_texts(texts):
+        every = (x.encode("utf-8", "replace") for x in texts)
+        raw = [x[i : i + CHUNK_BYTES + length - 1] for x in every for i in range(0, max(1, len(x) - length + 1), CHUNK_BYTES)]
+        _, n, _, h = cut(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), length, gram)
+        return n, h
+
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_minimisers(docs, cut_texts, buckets))
 
     def run(batches):
         for b in batches:
@@ -199,7 +206,7 @@ def _pack(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                 for some, offset in parts:
                     buf = np.frombuffer(b"".join([*some, b"\0" * 8]), np.uint8)
                     upto = np.cumsum([len(x) for x in some])
-                    first, n, place, gram_hash = cut(buf[:-8], upto, length, gram)
+                    first, n, place, gram_hash = cut(buf[:-8], upto, length, gram, frequent.value)
                     if not len(first):
                         continue
                     doc = np.searchsorted(upto, first, side="right")

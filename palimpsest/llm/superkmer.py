@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import CHUNK_BYTES, byte_values, chunks, frugal, hex_digests, mix, prefix_hash, ranges, span_hash
-from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, gathered, keyed, n_buckets, packed, string_hash, unpacked, without_spans
+from palimpsest.llm.kmers import BASE_A, BASE_B, PACKED, by_bucket, classes, cut, frequent_minimisers, gathered, keyed, n_buckets, packed, string_hash, unpacked, without_spans
 
 WINDOW, GRAM = 35, 5
 _SPACE = np.zeros(256, bool)
@@ -61,6 +61,13 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def pack(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    def cut_texts(texts):
+        buf, starts, ends, upto = laid_out([p for x in texts for p, _ in pieces(x.encode("utf-8", "replace"), window - 1)])
+        _, n, _, h = cut(word_hashes(buf, starts, ends), upto, window, gram)
+        return n, h
+
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_minimisers(docs, cut_texts, buckets))
+
     def run(batches):
         for b in batches:
             at = 0
@@ -72,7 +79,7 @@ def pack(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
                     buf, starts, ends, upto = laid_out([p for _, p, _ in some])
                     if not len(upto) or upto[-1] < window:
                         continue
-                    first, n, _, gram_hash = cut(word_hashes(buf, starts, ends), upto, window, gram)
+                    first, n, _, gram_hash = cut(word_hashes(buf, starts, ends), upto, window, gram, frequent.value)
                     if not len(first):
                         continue
                     doc = np.searchsorted(upto, first, side="right")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontam, exact, graph, html, langid, neardup, secrets, suffix, superkmer, toxicity
+from palimpsest.llm import bpe, decontam, exact, graph, html, kmers, langid, neardup, secrets, suffix, superkmer, toxicity
 
 EXTRA = "doc_id long, text string, lang string, row_key string, n_words int, kept string"
 
@@ -557,7 +557,10 @@ def plain_windows(rows, k):
     return sorted(out, key=repr)
 
 
-def test_repeated_windows(spark, odd):
+@pytest.mark.parametrize("frequent", [0.5, 0.0])
+def test_repeated_windows(spark, odd, monkeypatch, frequent):
+    """Also where all minimisers count as frequent."""
+    monkeypatch.setattr(kmers, "FREQUENT", frequent)
     rng = random.Random(9)
     rows = odd + [(200 + i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for i in range(80)]
     out = superkmer.without_repeats(table(spark, rows), window=8, gram=3)
@@ -636,7 +639,9 @@ def plain_bytes(rows, k):
     return sorted(out, key=repr)
 
 
-def test_repeated_bytes(spark, odd):
+@pytest.mark.parametrize("frequent", [0.5, 0.0])
+def test_repeated_bytes(spark, odd, monkeypatch, frequent):
+    monkeypatch.setattr(kmers, "FREQUENT", frequent)
     rng = random.Random(4)
     rows = odd + [(200 + i, "".join(rng.choice("abé") for _ in range(rng.randint(0, 60)))) for i in range(120)]
     out = suffix.without_repeats(table(spark, rows), length=12, gram=4)
