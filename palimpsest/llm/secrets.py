@@ -42,6 +42,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
+#: Bits of the set of texts that the index finds, at most.
+MOST_BITS = 1 << 29
 #: Matches whose offsets are added up together.
 SLICE = 256
 #: Strings that one part of a query may list.
@@ -164,27 +166,55 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.flatten(moved)
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with a flag ``maybe``: whether their row_key is among the doc_ids of ``wanted`` (or one of few others).
+
+    The set is a bit map of at most MOST_BITS bits, eight to a row wanted where that is less, made and looked up in SQL functions; its size is known, so it is
+    broadcast.
+    """
+    bits = min(MOST_BITS, max(1 << 20, 1 << (8 * wanted.count()).bit_length()))
+
+    def bit(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # the bit map functions count from 1
+
+    maps = wanted.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    at = F.bitmap_bit_position(bit("row_key"))
+    byte = F.conv(F.hex(F.substr("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce((F.call_function("shiftright", byte, (at % 8).cast("int")) % 2) == 1, F.lit(False))
+    return rows.withColumn("part", F.bitmap_bucket_number(bit("row_key"))).join(F.broadcast(maps), "part", "left").withColumn("maybe", maybe).drop("part", "map")
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, found`` with ``found`` an array of ``(start, number, end)``, ``number`` the rule's place in ``rules``; in order."""
+    """``doc_id, found`` with ``found`` an array of ``(start, number, end)``, ``number`` the rule's place in ``rules``; in order.
+
+    Only texts that the index may have found are shuffled, to meet the kinds found for them; the rules that scan fully run on the others in place.
+    """
     spark = docs.sparkSession
     named, key = with_key(docs)
     texts = id_text(named, F.col(key).alias("row_key"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for part in q for s in part for g in s})
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint>>")
-    if grams:
-        wanted = candidates(written(spark, postings(texts.select(F.col("row_key").alias("doc_id"), "text"), grams), "trigrams"), queries)
-        texts = texts.join(wanted.withColumnRenamed("doc_id", "row_key").hint("merge"), "row_key", "left")  # the same plan at every size
-    else:
-        texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
-    each = []
-    for number, rule in enumerate(rules):
-        # a cheap test with the shortest length that counts decides whether gaps and offsets are worked out at all
-        some = F.col("text").rlike(rule.pattern if rule.group or not rule.at_least else _at_least(rule))
-        if rule.kind in queries:
-            some = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & some
-        each.append(F.when(some, _spans(F.col("text"), rule, number)).otherwise(none))
-    return texts.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
+
+    def found(rows: DataFrame, kinds: bool) -> DataFrame:
+        each = []
+        for number, rule in enumerate(rules):
+            if rule.kind in queries and not kinds:
+                continue
+            # a cheap test with the shortest length that counts decides whether gaps and offsets are worked out at all
+            some = F.col("text").rlike(rule.pattern if rule.group or not rule.at_least else _at_least(rule))
+            if rule.kind in queries:
+                some = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & some
+            each.append(F.when(some, _spans(F.col("text"), rule, number)).otherwise(none))
+        return rows.select("doc_id", F.array_sort(F.concat(none, *each)).alias("found"))
+
+    if not grams:
+        return found(texts, False)
+    index = written(spark, postings(texts.select(F.col("row_key").alias("doc_id"), "text"), grams), "trigrams")
+    wanted = written(spark, candidates(index, queries), "candidates")
+    marked = _marked(texts, wanted)
+    hit = marked.where("maybe").join(wanted.withColumnRenamed("doc_id", "row_key").hint("merge"), "row_key", "left")
+    return found(hit, True).unionByName(found(marked.where("not maybe"), False))
 
 
 def _at_least(rule: Rule) -> str:
