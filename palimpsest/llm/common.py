@@ -68,6 +68,25 @@ def written(spark: SparkSession, df: DataFrame, what: str, narrow: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the set that marked() broadcasts, at most (64 MB).
+MOST_BITS = 1 << 29
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a flag ``maybe``: whether their ``key``, a long, is among those of ``wanted`` (or one of few others). What is not can do without a join.
+
+    The set is a bit map of at most MOST_BITS bits, eight to a key wanted where that is less, made and looked up in SQL functions; its size is known, so it is
+    broadcast. ``wanted`` is read twice.
+    """
+    bits = min(MOST_BITS, max(1 << 20, 1 << (8 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # the bit map functions count from 1
+    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substr("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce((F.call_function("shiftright", byte, (at % 8).cast("int")) % 2) == 1, F.lit(False))
+    return rows.withColumn("part", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "part", "left").withColumn("maybe", maybe).drop("part", "map")
+
+
 def dropped(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete what written() made, once nothing that is still to run reads it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

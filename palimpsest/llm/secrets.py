@@ -20,7 +20,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_text, with_key, written
+from palimpsest.llm.common import id_text, marked, with_key, written
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,6 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
-#: Bits of the set of texts that the index finds, at most.
-MOST_BITS = 1 << 29
 #: Matches whose offsets are added up together.
 SLICE = 256
 #: Strings that one part of a query may list.
@@ -166,24 +164,6 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.flatten(moved)
 
 
-def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` with a flag ``maybe``: whether their row_key is among the doc_ids of ``wanted`` (or one of few others).
-
-    The set is a bit map of at most MOST_BITS bits, eight to a row wanted where that is less, made and looked up in SQL functions; its size is known, so it is
-    broadcast.
-    """
-    bits = min(MOST_BITS, max(1 << 20, 1 << (8 * wanted.count()).bit_length()))
-
-    def bit(key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # the bit map functions count from 1
-
-    maps = wanted.select(bit("doc_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    at = F.bitmap_bit_position(bit("row_key"))
-    byte = F.conv(F.hex(F.substr("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce((F.call_function("shiftright", byte, (at % 8).cast("int")) % 2) == 1, F.lit(False))
-    return rows.withColumn("part", F.bitmap_bucket_number(bit("row_key"))).join(F.broadcast(maps), "part", "left").withColumn("maybe", maybe).drop("part", "map")
-
-
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, found`` with ``found`` an array of ``(start, number, end)``, ``number`` the rule's place in ``rules``; in order.
 
@@ -212,9 +192,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return found(texts, False)
     index = written(spark, postings(texts.select(F.col("row_key").alias("doc_id"), "text"), grams), "trigrams")
     wanted = written(spark, candidates(index, queries), "candidates")
-    marked = _marked(texts, wanted)
-    hit = marked.where("maybe").join(wanted.withColumnRenamed("doc_id", "row_key").hint("merge"), "row_key", "left")
-    return found(hit, True).unionByName(found(marked.where("not maybe"), False))
+    wanted = wanted.withColumnRenamed("doc_id", "row_key")
+    both = marked(texts, wanted, "row_key")
+    hit = both.where("maybe").join(wanted.hint("merge"), "row_key", "left")
+    return found(hit, True).unionByName(found(both.where("not maybe"), False))
 
 
 def _at_least(rule: Rule) -> str:
