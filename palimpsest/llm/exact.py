@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_text, with_key, written
+from palimpsest.llm.common import id_text, marked, with_key, written
 from palimpsest.sources.scratch import scratch
 
 FILES_PER_BATCH = 1024
@@ -100,7 +100,8 @@ def _judged(named: DataFrame, key: str, digest: Callable[[Column], Column]) -> D
     kept = _keyed_state(spark, staged, spark.read.parquet(staged).schema)
     out = rows.join(kept, "digest")
     hits = rows.join(kept.where("group_size > 1").select("digest", "keep_row"), "digest").select("row", "digest", (F.col("row") == F.col("keep_row")).alias("located"))
-    texts = texts.select("row", "norm").join(hits, "row")
+    hits = written(spark, hits, "dedup-hits")
+    texts = marked(texts.select("row", "norm"), hits, "row").where("maybe").drop("maybe").join(hits.hint("merge"), "row")
     ends = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"), F.max(F.when(F.col("located"), F.col("norm"))).alias("there"))
     differ = written(spark, ends.where("least != there or greatest != there").select("digest"), "dedup-collisions")
     columns = ["doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "locator", "row"]
