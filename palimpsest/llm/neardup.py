@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import byte_values, chunks, dropped, frugal, id_text, mix, prefix_hash, ranges, span_hash, with_key, written
+from palimpsest.llm.common import byte_values, chunks, dropped, frugal, id_text, marked, mix, prefix_hash, ranges, span_hash, with_key, written
 from palimpsest.llm.graph import components
 from palimpsest.llm.kmers import BASE_A, BASE_B, keyed, string_hash
 
@@ -302,8 +302,9 @@ def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: floa
     keep = lambda df, what, narrow=False: made.append(written(spark, df, what, narrow)) or made[-1]
     size = nodes.select("node", "mass", "n_words")
     member = keep(_company(nodes.where("n_words > 0").select("node", F.explode("bands").alias("bucket"))).join(size.hint("merge"), "node"), "buckets")
-    wanted = member.select(F.col("node").alias("row_key")).distinct()
-    texts = keep(_texts(rows).join(wanted.hint("merge"), "row_key", "left_semi"), "texts")
+    wanted = keep(member.select(F.col("node").alias("row_key")).distinct(), "wanted", narrow=True)
+    some = marked(rows.select("row_key", "text"), wanted, "row_key").where("maybe")  # else all texts would be shuffled
+    texts = keep(_texts(some).join(wanted.hint("merge"), "row_key", "left_semi"), "texts")
     for level in range(len(LEVELS)):
         lead = member.groupBy("bucket").agg(F.min(F.struct("node", "mass")).alias("lead"))
         heavy = F.least("mass", "lead.mass") >= F.greatest("mass", "lead.mass") * (threshold - 1e-4)  # else no similarity that counts
@@ -317,8 +318,8 @@ def _linked(nodes: DataFrame, rows: DataFrame, weights: Weights, threshold: floa
             rest = rest.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             rest = rest.withColumn("component", F.col("node"))
-        state = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n_words").alias("words"))
-        state = state.where("least != most").select("bucket", F.ceil(F.col("words") / BLOCK_WORDS).cast("int").alias("blocks"))
+        state = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n_words").alias("words"), F.count("*").alias("n"))
+        state = state.where("least != most").select("bucket", F.least(F.ceil(F.col("words") / BLOCK_WORDS), "n").cast("int").alias("blocks"))
         live = keep(rest.join(state.hint("merge"), "bucket").select("bucket", "node", "component", "blocks"), "live", narrow=True)
         last = level + 1 == len(LEVELS)
         links = keep(_block_links(live if last else live.where(F.col("blocks") <= MOST_BLOCKS), texts, weights, threshold), "links")
