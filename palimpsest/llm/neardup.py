@@ -34,7 +34,7 @@ LEVELS = ((14, 3), (40, 8))
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 #: Words of a block of texts, and how many blocks a bucket may have before its members go to the next level.
-BLOCK_WORDS, MOST_BLOCKS = 250_000, 16
+BLOCK_WORDS, MOST_BLOCKS = 60_000, 32
 
 _NORMAL = np.frombuffer(bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256)), np.uint8)
 
