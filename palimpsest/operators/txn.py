@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.keys import UNBOUNDED, Bound, with_prefix, within
-from palimpsest.operators.model import Versioned
 from palimpsest.operators.read import overlay, visible_at
 
 
