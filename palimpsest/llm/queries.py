@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.exact import dedup
 
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
