@@ -215,7 +215,8 @@ def render_scan(spark, d):
 )
 def kway_merge(spark, d):
     e = events(spark, d)
-    ts, at = F.col("event_id"), lambda share: F.lit(_at(spark, d, share))
+    ts, top = F.col("event_id"), _at(spark, d, 100)
+    at = lambda share: F.lit(top * share // 100)
     three = [e.where(ts >= at(50)).withColumn("origin", F.lit("new")), e.where(ts.between(at(30), at(80))).withColumn("origin", F.lit("middle")), e.where(ts < at(60)).withColumn("origin", F.lit("old"))]
     return read.merge_runs(three, EVENTS).select("user_id", "event_id", "origin")
 
