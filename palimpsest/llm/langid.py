@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import chunks, dropped, frugal, id_text, mix, written
 
 ROWS_PER_LANGUAGE = 600
-MIN_SHARE = 0.01
+MIN_SHARE = 0.05
 SIZES = (2, 3, 4)
 CELL_BITS, HASHES = 21, 2
 #: Power to which the corrected counts are raised before their shares are taken as the score.
