@@ -94,6 +94,11 @@ def history(changelog: DataFrame, spec: Versioned, lower: Bound = UNBOUNDED, upp
     return changelog.where(within(F.col(spec.keys[0]), lower, upper))
 
 
+def prefix_history(changelog: DataFrame, spec: Versioned, prefix: str | bytes) -> DataFrame:
+    """All versions of the keys with a prefix, deletions included."""
+    return changelog.where(with_prefix(F.col(spec.keys[0]), prefix))
+
+
 def version(changelog: DataFrame, spec: Versioned, key: object, at: object) -> DataFrame:
     """The exact ``(key, ts)`` row, whether it deletes or not."""
     return changelog.where((F.col(spec.keys[0]) == F.lit(key)) & (F.col(spec.ts) == F.lit(at)))
