@@ -12,15 +12,23 @@ from palimpsest.operators.model import Versioned
 def ingest(stream: DataFrame, store, checkpoint: str, order: str, compact_every: int = 8) -> StreamingQuery:
     """Write each micro-batch (``key, value, deleted`` and ``order``) as one version; compaction runs between batches.
 
+    ``order`` decides over all batches: the stream's state keeps the newest row of each key, and that is what a batch with rows of the key
+    writes. So a row that comes late never replaces a newer one, and compaction may drop a deletion that later rows still have to respect.
     The manifest keeps the number of the newest batch of each checkpoint, so a batch that is replayed after a crash is not written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        store.write_batch(batch, order, (checkpoint, number))
+        if store.batches.get(checkpoint, -1) >= number:
+            batch.write.format("noop").mode("overwrite").save()  # the state of this batch may not have been saved
+        else:
+            store.write_batch(batch, order, (checkpoint, number))
         if number % compact_every == compact_every - 1:
             store.compact()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if "deleted" not in stream.columns:
+        stream = stream.withColumn("deleted", F.lit(False))
+    newest = latest(stream, Versioned(("key",), order), ["value"])
+    return newest.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(stream: DataFrame, spec: Versioned, columns: list[str]) -> DataFrame:
