@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators.model import Versioned
 
 
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
+@contextmanager
+def _adaptive(stream: SparkSession, own: SparkSession):
+    """Streams with state run without adaptive plans. What is done with a batch, whose plan stands by then, may have them, or a run has a file for
+    each shuffle partition, each with a Bloom filter."""
+    before = stream.conf.get(_ADAPTIVE)
+    stream.conf.set(_ADAPTIVE, own.conf.get(_ADAPTIVE))
+    try:
+        yield
+    finally:
+        stream.conf.set(_ADAPTIVE, before)
+
+
 def ingest(stream: DataFrame, store, checkpoint: str, order: str, compact_every: int = 8) -> StreamingQuery:
     """Write each micro-batch (``key, value, deleted`` and ``order``) as one version; compaction runs between batches.
 
@@ -21,7 +38,8 @@ def ingest(stream: DataFrame, store, checkpoint: str, order: str, compact_every:
         if store.batches.get(checkpoint, -1) >= number:
             batch.write.format("noop").mode("overwrite").save()  # the state of this batch may not have been saved
         else:
-            store.write_batch(batch, order, (checkpoint, number))
+            with _adaptive(batch.sparkSession, store.spark):
+                store.write_batch(batch, order, (checkpoint, number))
         if number % compact_every == compact_every - 1:
             store.compact()
 

@@ -76,3 +76,13 @@ def test_stream_ingest_of_mixed_files(spark, tmp_path):
     sql.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     out = QUERIES["stream_ingest"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == sorted(sql.execute(f"select {', '.join(out.columns)} from ({ORACLES['stream_ingest']})").fetchall())
+
+
+def test_a_small_batch_is_one_file(spark, tmp_path):
+    source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    arrive(spark, source, 0)
+    run(spark, source, store, str(tmp_path / "ck"), 8)
+    arrive(spark, source, 1)
+    run(spark, source, store, str(tmp_path / "ck"), 8)
+    files = [sum(name.endswith(".parquet") for name in os.listdir(f"{store.path}/{r.path}")) for r in store.runs]
+    assert files == [1, 1] and spark.conf.get("spark.sql.adaptive.enabled") == "true"
